@@ -11,12 +11,12 @@ from loomery.plans.tables import table
 
 def p3_versions(spark: SparkSession, folder: str) -> DataFrame:
     log = table(spark, folder, "memory_entries").select("namespace", "key", "created_at", "ord", "invalidated_at", attribute_state(F.col("data")).alias("state"))
-    return history(log, ["namespace", "key"], "created_at", ["ord"], "state", "invalidated_at")
+    versions = history(log, ["namespace", "key"], "created_at", ["ord"], "state", "invalidated_at")
+    return versions.withColumn("valid_to_us", F.coalesce("valid_to_us", F.lit(-1).cast("bigint")))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    versions = p3_versions(spark, folder)
-    return versions.select("namespace", "key", "valid_from_us", F.coalesce("valid_to_us", F.lit(-1).cast("bigint")).alias("valid_to_us")).distinct()
+    return p3_versions(spark, folder).select("namespace", "key", "valid_from_us", "valid_to_us").distinct()
 
 
 QUERIES = {"p3_found": p3_found, "p3_versions": p3_versions}
@@ -40,11 +40,11 @@ WITH parsed AS (
 flagged AS (
   SELECT *, CASE WHEN lag(e) OVER w = s AND lag(state) OVER w = state THEN 0 ELSE 1 END AS fresh FROM held WINDOW w AS (PARTITION BY namespace, key ORDER BY s)
 ), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY namespace, key ORDER BY s) AS version FROM flagged)
-SELECT namespace, key, min(s) AS valid_from_us, CASE WHEN bool_or(e IS NULL) THEN NULL ELSE max(e) END AS valid_to_us, any_value(state) AS state
+SELECT namespace, key, min(s) AS valid_from_us, CASE WHEN bool_or(e IS NULL) THEN -1 ELSE max(e) END AS valid_to_us, any_value(state) AS state
 FROM numbered GROUP BY namespace, key, version
 """
 
 ORACLE = {
-    "p3_found": f"SELECT DISTINCT namespace, key, valid_from_us, coalesce(valid_to_us, -1) AS valid_to_us FROM ({_VERSIONS})",
+    "p3_found": f"SELECT DISTINCT namespace, key, valid_from_us, valid_to_us FROM ({_VERSIONS})",
     "p3_versions": _VERSIONS,
 }
