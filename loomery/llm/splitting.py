@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as str.isspace has it.
-SPACE = r"\s\x1c-\x1f\x85\xa0  -     　"
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CLOSERS = r"\"')\]}»”’*_`"
 
 
