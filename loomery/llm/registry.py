@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm.plans import p1, p2, p4, p5, p8
+from loomery.llm.plans import p1, p2, p4, p5, p6, p7, p8
 
-MODULES = [p1, p2, p4, p5, p8]
+MODULES = [p1, p2, p4, p5, p6, p7, p8]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
