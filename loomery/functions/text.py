@@ -39,14 +39,15 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(strip(text), rf"[{SPACE}]+", " ")
 
 
-@F.pandas_udf("string")
-def _casefold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " ".join(t.casefold().split()), na_action="ignore")
-
-
 def folded(text: Column) -> Column:
     """Case-folded with collapsed white space. Stays in the JVM for ASCII, where lower case is the same."""
-    return F.when(text.rlike(r"^\p{ASCII}*\z"), collapse(F.lower(text))).otherwise(_casefold(F.when(~text.rlike(r"^\p{ASCII}*\z"), text)))
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(t.casefold().split()), na_action="ignore")
+
+    ascii_only = text.rlike(r"^\p{ASCII}*\z")
+    return F.when(ascii_only, collapse(F.lower(text))).otherwise(fold(F.when(~ascii_only, text)))
 
 
 def clamp(score: Column) -> Column:
@@ -98,9 +99,24 @@ def fences_stripped(text: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The text when it is JSON, else its part from the first { to the last }, else null; as VARIANT."""
-    whole = F.try_parse_json(strip(text))
-    return F.coalesce(whole, F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))))
+    """The text when it is JSON, else its part from the first { to the last }, else null; as VARIANT. In Python, for the
+    JVM's parser ignores what follows a value."""
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        import json
+
+        def one(t: str) -> str | None:
+            for part in (t.strip(), t[max(0, t.find("{")) : t.rfind("}") + 1]):
+                try:
+                    return json.dumps(json.loads(part))
+                except ValueError:
+                    continue
+            return None
+
+        return texts.map(one, na_action="ignore")
+
+    return F.try_parse_json(read(text))
 
 
 def optional_float(text: Column) -> Column:

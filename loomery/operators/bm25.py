@@ -35,22 +35,15 @@ def build(docs: DataFrame, id: str, text: str, ord: str | None = None, group: st
     rows = docs.select(F.col(group).alias("group") if group else F.lit(0).alias("group"), F.col(id).alias("id"), F.col(ord or id).alias("ord"), F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
     rows = rows.withColumn("dl", F.size("tokens"))
     stats = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    # term frequencies by counting equal neighbours of the sorted tokens: no shuffle
-    counted = rows.select("group", "id", "ord", "dl", F.explode(_counts(F.col("tokens"))).alias("t")).select("group", "id", "ord", "dl", "t.token", "t.tf")
+    # a document's tokens are in one partition, so the partial aggregate already has each posting once
+    counted = rows.select("group", "id", "ord", "dl", F.explode("tokens").alias("token")).groupBy("group", "id", "ord", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     frequencies = counted.groupBy("group", "token").agg(F.count(F.lit(1)).alias("df"))
     return Index(counted, frequencies, stats, k1, b)
 
 
-def _counts(tokens: Column) -> Column:
-    ordered = F.array_sort(tokens)
-    last = F.size(ordered) - 1
-    ends = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: (i == last) | (F.get(ordered, i) != F.get(ordered, i + 1)))
-    return F.transform(ends, lambda e, k: F.struct(F.get(ordered, e).alias("token"), (e - F.coalesce(F.when(k > 0, F.get(ends, k - 1)), F.lit(-1))).alias("tf")))
-
-
 def query_terms(queries: DataFrame, id: str, text: str, group: str | None = None, tokenizer: Callable[[Column], Column] = T.words) -> DataFrame:
-    asked = queries.select(F.col(id).alias("query_id"), F.col(group).alias("group") if group else F.lit(0).alias("group"), F.explode(_counts(tokenizer(F.col(text)))).alias("t"))
-    return asked.select("query_id", "group", "t.token", F.col("t.tf").alias("times"))
+    asked = queries.select(F.col(id).alias("query_id"), F.col(group).alias("group") if group else F.lit(0).alias("group"), F.explode(tokenizer(F.col(text))).alias("token"))
+    return asked.groupBy("query_id", "group", "token").agg(F.count(F.lit(1)).alias("times"))
 
 
 def scores(index: Index, asked: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.plans import history
+from loomery.plans import history, search, texts
 
-MODULES = [history]
+MODULES = [history, texts, search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["p3_found"](spark, folder)
+    return search.bm25_topk(spark, folder)
