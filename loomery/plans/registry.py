@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.plans import history, search, texts
+from loomery.plans import agents, history, memory, search, texts
 
-MODULES = [history, texts, search]
+MODULES = [history, texts, search, memory, agents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
