@@ -171,7 +171,14 @@ def retry_schedule(spark, folder):
 
 def _stream(spark, folder):
     path = f"{folder}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(path).schema
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        stream = reader.parquet(path)
+    else:  # a file is read as the only one of its folder
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _place(spark):
@@ -228,7 +235,26 @@ SELECT case_id, trial, passed, round(CASE WHEN passed OR len(e) = 0 THEN 1e0 ELS
 _SC = f"""{_TR}, sc AS (SELECT case_id, trial, 'trajectory' AS dimension, {_OV} = len(e) AS passed, CASE WHEN len(e) = 0 THEN 1e0 ELSE {_OV}::DOUBLE / len(e) END AS score FROM t WHERE e IS NOT NULL
 UNION ALL SELECT case_id, trial, 'latency', latency_ms <= 2000, least(1e0, 2000e0 / greatest(latency_ms, 1)) FROM t WHERE latency_ms IS NOT NULL),
 tp AS (SELECT DISTINCT t.case_id, t.trial, coalesce(p, false) AS passed FROM t LEFT JOIN (SELECT case_id, trial, bool_and(passed) AS p FROM sc GROUP BY ALL) s ON s.case_id = t.case_id AND s.trial = t.trial)"""
-_MAIL, _SSN, _CARD = (p.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"[[\p{L}\p{N}_]", r"[\p{L}\p{N}_") for p in (G.EMAIL, G.US_SSN, G.CREDIT_CARD))
+_TEXTS = f"(SELECT ord, content AS v FROM {MESSAGES} WHERE content IS NOT NULL)"
+_RX = {name: pattern.replace("'", "''") for name, pattern in G.PATTERNS.items()}
+_HIT = {name: f"regexp_matches(v, '{rx}')" for name, rx in _RX.items()}
+_LABELS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {hit} THEN '{name}' END" for name, hit in _HIT.items()) + "], lambda x: x IS NOT NULL), ',')"
+_CLEAN = "v"
+for _rx in _RX.values():
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_rx}', '[redacted]', 'g')"
+_NO_MAIL = f"regexp_replace(v, '{_RX['email']}', '[redacted]', 'g')"
+
+
+def _chain_sql(seen: str, shadow: bool) -> str:
+    ends = "true" if shadow else "NOT b"
+    return f"""WITH a AS (SELECT ord, v, {_HIT['email']} AS m, {seen} AS w FROM {_TEXTS}), b AS (SELECT *, regexp_matches(w, '{_RX['ssn']}') AS b, contains(lower(w), 'refund') AS r FROM a),
+c AS (SELECT *, {ends} AND r AS t FROM b)
+SELECT ord, {"'allow'" if shadow else "CASE WHEN b OR t THEN 'block' WHEN w <> v THEN 'transform' ELSE 'allow' END"} AS action,
+{"NULL::VARCHAR" if shadow else "CASE WHEN b THEN 'matched ssn at input' WHEN t THEN 'topic is closed' WHEN w <> v THEN 'redacted email at input' END"} AS reason,
+array_to_string(list_filter([CASE WHEN m THEN 'mail:transform' END, CASE WHEN b THEN 'ssn:block' END, CASE WHEN t THEN 'topic:block' END], lambda x: x IS NOT NULL), ',') AS decisions,
+{"md5(v)" if shadow else "CASE WHEN NOT (b OR t) THEN md5(w) END"} AS result_md5 FROM c"""
+
+
 _TOOLS = f"(SELECT ord, unnest(range(len(tool_calls))) AS n, unnest(tool_calls).name AS tool, length(unnest(tool_calls).input) AS size FROM {MESSAGES})"
 _EV = "(SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS tool, event_type = 'error' AS bad, value FROM events)"
 
@@ -237,9 +263,9 @@ ORACLE = {
     "window_messages": f"WITH {_UNITS} SELECT session_id, pos FROM s WHERE ka OR rows_back <= 6 OR unit = newest",
     "window_tokens": f"""WITH {_UNITS}, z AS (SELECT *, CASE WHEN spent > 400 THEN 'preserved_over_budget' WHEN spent + first > 400 THEN 'newest_over_budget' ELSE 'ok' END AS status FROM s)
 SELECT session_id, pos, status FROM z WHERE ka OR (status = 'ok' AND spent + tok_back <= 400)""",
-    "summary_plan": f"""WITH {_UNITS}, z AS (SELECT *, sum(tok) OVER (PARTITION BY session_id) AS at, count(*) OVER (PARTITION BY session_id) AS ar, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS fe FROM m),
-y AS (SELECT *, CASE WHEN at > 900 THEN 'tokens' WHEN ar >= 20 THEN 'messages' END AS reason FROM z)
-SELECT session_id, reason, sum(CASE WHEN fe > 4 AND NOT (ka AND NOT coalesce(kind = 'conversation_summary', false)) THEN 1 ELSE 0 END)::BIGINT AS covered, max(ar) AS rows, max(at)::BIGINT AS tokens FROM y WHERE reason IS NOT NULL GROUP BY session_id, reason""",
+    "summary_plan": f"""WITH {_UNITS}, z AS (SELECT *, sum(tok) OVER (PARTITION BY session_id) AS all_tok, count(*) OVER (PARTITION BY session_id) AS ar, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS fe FROM m),
+y AS (SELECT *, CASE WHEN all_tok > 900 THEN 'tokens' WHEN ar >= 20 THEN 'messages' END AS reason FROM z)
+SELECT session_id, reason, sum(CASE WHEN fe > 4 AND NOT (ka AND NOT coalesce(kind = 'conversation_summary', false)) THEN 1 ELSE 0 END)::BIGINT AS covered, max(ar) AS rows, max(all_tok)::BIGINT AS tokens FROM y WHERE reason IS NOT NULL GROUP BY session_id, reason""",
     "session_rollup": f"""SELECT session_id, count(*) AS messages, sum({_TOK})::BIGINT AS tokens, sum(coalesce(len(tool_calls), 0))::BIGINT AS tool_calls, coalesce(sum(TRY_CAST(metadata['input_tokens'] AS BIGINT)), 0)::BIGINT AS input_tokens,
 coalesce(sum(TRY_CAST(metadata['output_tokens'] AS BIGINT)), 0)::BIGINT AS output_tokens FROM (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY ord ORDER BY loaded_at) = 1) GROUP BY session_id""",
     "provider_exchanges": f"""WITH f AS (SELECT *, CASE WHEN role = 'tool' AND lag(role) OVER (PARTITION BY session_id ORDER BY pos) = 'tool' THEN 0 ELSE 1 END AS fresh FROM {MESSAGES}),
@@ -260,6 +286,10 @@ round(count(*) FILTER (NOT gone AND NOT wrong)::DOUBLE / count(*), 6) AS score F
     "eval_pass_rates": f"WITH {_SC} SELECT round((SELECT avg(CASE WHEN passed THEN 1e0 ELSE 0e0 END) FROM tp), 6) AS pass_rate, round(avg(CASE WHEN p THEN 1e0 ELSE 0e0 END), 6) AS pass_hat_k FROM (SELECT case_id, bool_and(passed) AS p FROM tp GROUP BY case_id)",
     "eval_dimension_avg": f"WITH {_SC} SELECT dimension, round(avg(score), 6) AS average, count(*) AS scores FROM sc GROUP BY dimension",
     "eval_failures": f"WITH {_SC} SELECT case_id, trial, dimension, round(score, 6) AS score FROM sc WHERE NOT passed",
+    "pii_detect": f"SELECT ord, {_LABELS} AS labels FROM {_TEXTS} WHERE {_LABELS} <> ''",
+    "pii_redact": f"SELECT ord, md5({_CLEAN}) AS content_md5 FROM {_TEXTS}",
+    "guard_chain_enforce": _chain_sql(_NO_MAIL, False),
+    "guard_chain_shadow": _chain_sql("v", True),
     "tool_permission": f"""SELECT ord, n, CASE WHEN tool = 'send_mail' OR tool NOT IN ('search_docs', 'search_memory', 'get_order') OR (tool = 'search_docs' AND size > 40) THEN 'block' ELSE 'allow' END AS action,
 CASE WHEN tool = 'send_mail' THEN tool || ' is denied' WHEN tool NOT IN ('search_docs', 'search_memory', 'get_order') THEN tool || ' is not allowed' WHEN tool = 'search_docs' AND size > 40 THEN 'input too long' END AS reason FROM {_TOOLS}""",
     "approval_needed": f"""SELECT ord, n, CASE WHEN (tool = 'create_ticket' AND size > 20) OR tool = 'send_mail' THEN 'confirm' ELSE 'allow' END AS action,
