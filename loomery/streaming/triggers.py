@@ -1,7 +1,8 @@
 """Stateful triggers on streams: every n-th message, and reflection thresholds.
 
 State is a count and a sum for each key. The order of a key's rows within a micro-batch is that of ``ts`` and ``ord``; late
-rows count when they arrive. State of a key without rows for ``ttl_days`` is dropped.
+rows count when they arrive. The state of a key is kept: with a timeout by processing time a run over what is there would
+never end.
 """
 
 from __future__ import annotations
@@ -16,14 +17,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 POINTS = "key string, ord bigint, observed bigint, total double"
 
 
-def threshold_points(stream: DataFrame, key: str, ts: str, ord: str, weight: str, most_count: int, most_total: float | None = None, ttl_days: int = 30) -> DataFrame:
+def threshold_points(stream: DataFrame, key: str, ts: str, ord: str, weight: str, most_count: int, most_total: float | None = None) -> DataFrame:
     """``key, ord, observed, total`` for each row at which the count or the sum of weights since the last such row reaches
     its limit; then both start anew. With ``most_total`` None it is an interval trigger."""
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         count, total = state.get if state.exists else (0, 0.0)
         frames = [pdf for pdf in batches if len(pdf)]
         out = []
@@ -34,11 +32,10 @@ def threshold_points(stream: DataFrame, key: str, ts: str, ord: str, weight: str
                     out.append((group[0], int(o), count, total))
                     count, total = 0, 0.0
         state.update((count, total))
-        state.setTimeoutDuration(ttl_days * 86_400_000)
         yield pd.DataFrame(out, columns=["key", "ord", "observed", "total"])
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.col(ord).cast("bigint").alias("ord"), F.col(weight).cast("double").alias("weight"))
-    return rows.where("key IS NOT NULL").groupBy("key").applyInPandasWithState(run, POINTS, "count bigint, total double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.where("key IS NOT NULL").groupBy("key").applyInPandasWithState(run, POINTS, "count bigint, total double", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str = "1 day", late: str = "30 days") -> DataFrame:
