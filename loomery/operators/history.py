@@ -24,7 +24,7 @@ def slices(df: DataFrame, keys: list[str], micros: str, hot_rows: int = HOT_ROWS
     hot = hot.select(*[F.col(k).alias(f"__{k}") for k in keys])
     joined = df.join(hot, [df[k] == hot[f"__{k}"] for k in keys], "left")
     width = slice_days * 86_400_000_000
-    span = F.floor(F.col(micros) / F.lit(width)).cast("bigint")
+    span = F.floor(F.col(micros) / F.lit(width)).cast("bigint") * 2 + 1  # never 0
     return joined.withColumn("slice", F.when(F.col(f"__{keys[0]}").isNotNull(), span).otherwise(0)).drop(*hot.columns)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +58,11 @@ def files(spark: SparkSession, path: str, pattern: str = "*", ignore_unsupported
 
 def _merged(*maps):
     """Later maps win, whatever the session's policy for repeated keys."""
-    out = maps[0]
-    for m in maps[1:]:
-        left = F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k))
-        out = F.map_concat(left, m)
-    return out
+
+    def both(out, later):
+        return F.map_concat(F.map_filter(out, lambda k, _: ~F.map_contains_key(later, k)), later)
+
+    return reduce(both, maps)
 
 
 def docx_text(content):
