@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from loomery.operators import traces as R
 from loomery.operators import windows as W
 from loomery.plans.tables import messages, table
 from loomery.plans.texts import MESSAGES
+from loomery.session import shared_folder
 from loomery.streaming import triggers
 
 
@@ -182,10 +183,7 @@ def _stream(spark, folder):
 
 
 def _place(spark):
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="loomery-stream-")
-    return f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _run(spark, stream, mode="append"):

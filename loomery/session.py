@@ -21,19 +21,24 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return SparkSession.builder.master(f"local[{cpus}]").config(map=merged).getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    temporary one; on a cluster a missing setting is an error, for a machine-local folder would lose data there.
+    Only a local session without that setting gets a temporary one; on a cluster a missing setting is an error, for a
+    machine-local folder would lose data there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loomery-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="loomery-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
