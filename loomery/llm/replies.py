@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -69,6 +71,9 @@ _REQUEST = re.compile(
     rf"(?i)(?:\b(?:answer|reply|respond|response|write|translate|say it|explain it|antworte\w*|antwort|schreib\w*|erkläre es|übersetz\w*|répon\w*|écri\w*|tradui\w*|respond\w*|respuesta|contest\w*|escrib\w*|traduc\w*|rispond\w*|scriv\w*|antwoord\w*)\b[^.?!]{{0,40}}?"
     rf"|\bplease |\bbitte )\b(?:in|into|auf|ins|en|em|al|au|in het)\s+(?:el |la |le |das )?({'|'.join(_LANGUAGE_OF)})\b"
 )
+#: Languages of which a few words can be right in each other, and the number of words from which they can't.
+_ALIKE = ({"es", "pt", "it"}, {"de", "nl"})
+FEW_WORDS = 7
 #: Short replies of one language.
 _SHORT = {"yes": "en", "yeah": "en", "oui": "fr", "non": "fr", "sí": "es", "ja": "de", "nein": "de", "sim": "pt", "não": "pt", "sì": "it", "nee": "nl"}
 
@@ -118,34 +123,37 @@ _CLOSED = r"[.!?。！？][\"'”»)\]*_`]*$|[\"”»`*_]$"
 
 
 def _stops(texts: DataFrame) -> DataFrame:
-    """For each reply that does not end like a sentence: whether it stops early. ``key, text`` -> ``key, truncated``."""
-    listed = texts.select(_items(F.col("text")).alias("i"))
-    pairs = listed.select(F.inline(F.transform("i", lambda x, k: F.struct(F.when(k > 0, F.when(~F.get("i", k - 1)["ends"], F.get("i", k - 1)["w"])).alias("v"), x["w"].alias("w"), x["ends"].alias("ends")))))
-    counted = checkpoint(pairs.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n2"), F.sum(F.col("ends").cast("int")).alias("f2")))
+    """For each different reply that does not end like a sentence: whether it stops early. ``text, copies, said`` ->
+    ``text, truncated``. A reply's own copies count once in the statistics it is judged by. That it is ``said`` as a whole
+    to that many questions counts as so many sentence ends of its last word; it weighs against these statistics only, not
+    against signs in the text itself."""
+    listed = texts.select("copies", _items(F.col("text")).alias("i"))
+    pairs = listed.select("copies", F.inline(F.transform("i", lambda x, k: F.struct(F.when(k > 0, F.when(~F.get("i", k - 1)["ends"], F.get("i", k - 1)["w"])).alias("v"), x["w"].alias("w"), x["ends"].alias("ends")))))
+    counted = checkpoint(pairs.groupBy("v", "w").agg(F.sum("copies").alias("n2"), F.sum(F.col("ends").cast("int") * F.col("copies")).alias("f2")))
     single = counted.groupBy("w").agg(F.sum("n2").alias("n1"), F.sum("f2").alias("f1")).where(F.col("n1") >= SEEN)
     double = counted.where((F.col("n2") >= SEEN) & F.col("v").isNotNull())
     beginnings = single.where(F.length("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: F.substring("w", F.lit(1), k))).alias("w")).distinct()
 
     cut = F.regexp_replace(F.col("text"), r"\s*(?:…|\.\.\.)$", "")
-    often = texts.where(F.length("text") <= 200).groupBy("text").count().where(F.col("count") >= SEEN).select("text")  # said as a whole
     unfinished = ~F.col("cut").rlike(_CLOSED) | (F.col("cut") != F.col("text")) | (F.size(F.split("text", "```")) % 2 == 0)
-    open_ = checkpoint(texts.join(often, "text", "left_anti").withColumn("cut", cut).where(unfinished))
+    open_ = checkpoint(texts.withColumn("cut", cut).where(unfinished))
     size = F.length("text")
     lengths = open_.where(size >= 60).groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"))
     around = Window.partitionBy(F.floor(F.col("size") / 1000)).orderBy("size").rangeBetween(-6, 6)  # one row for each length
     lengths = lengths.withColumn("usual", (F.sum("n").over(around) - F.col("n")) / F.greatest(F.count("n").over(around) - 1, F.lit(1)))
     spikes = lengths.where((F.col("n") >= 20) & (F.col("n") >= 4 * F.col("usual"))).select("size", F.lit(True).alias("spike"))
-    near = texts.where(size > PREFIX).select("key", "text", F.substring("text", 1, PREFIX).alias("head"))
-    following = near.withColumn("next", F.lead("text").over(Window.partitionBy("head").orderBy("text", "key")))
+    near = texts.where(size > PREFIX).select("text", F.substring("text", 1, PREFIX).alias("head"))
+    following = near.withColumn("next", F.lead("text").over(Window.partitionBy("head").orderBy("text")))
     rest = F.substring(F.col("next"), F.length("text") + 1, F.lit(4))
-    shortened = following.where(F.col("next").startswith(F.col("text")) & rest.rlike(r"^(?:[\p{L}\p{N}]|[ ,]+[\p{L}\p{N}(])")).select("key", F.lit(True).alias("shortened"))
+    shortened = following.where(F.col("next").startswith(F.col("text")) & rest.rlike(r"^(?:[\p{L}\p{N}]|[ ,]+[\p{L}\p{N}(])")).select("text", F.lit(True).alias("shortened"))
 
     last = _items(F.regexp_extract(F.col("cut"), r"(?s).{0,80}\z", 0))
     asked = open_.withColumn("i", last).withColumn("w", F.try_element_at("i", F.lit(-1))["w"])
     prev = F.try_element_at("i", F.lit(-2))
     asked = asked.withColumn("v", F.when(~prev["ends"], prev["w"])).withColumn("size", size)
     asked = asked.join(single, "w", "left").join(double, ["v", "w"], "left").join(beginnings.withColumn("begins", F.lit(True)), "w", "left")
-    asked = asked.join(spikes, "size", "left").join(shortened, "key", "left")
+    asked = asked.withColumns({n: F.when(F.col(n) - F.col("copies") + 1 >= SEEN, F.col(n) - F.col("copies") + 1) for n in ("n1", "n2")})
+    asked = asked.join(spikes, "size", "left").join(shortened, "text", "left")
     rate = F.coalesce((F.col("f2") + 0.0) / F.col("n2"), (F.col("f1") + 0.0) / F.col("n1"))
     unclosed = F.length(F.regexp_replace("cut", r"[^(]", "")) > F.length(F.regexp_replace("cut", r"[^)]", ""))
     fence = F.size(F.split("cut", "```")) % 2 == 0
@@ -153,10 +161,11 @@ def _stops(texts: DataFrame) -> DataFrame:
     lower = F.col("n1").isNull() & F.col("w").rlike(r"^\p{Ll}") & (F.length("w") > 0)
     hint = F.coalesce("spike", "shortened", F.lit(False))
     inside = F.coalesce(rate < F.when(hint | (F.col("cut") != F.col("text")), SELDOM).otherwise(RARELY), F.lit(False))
+    given = F.coalesce((F.col("said") >= SEEN) & (F.coalesce("f1", F.lit(0)) + F.col("said") >= SELDOM * (F.coalesce("n1", F.lit(0)) + F.col("said"))), F.lit(False))
     number = F.col("n1").isNull() & F.col("w").rlike("9") & F.col("w").rlike(r"^\p{Lu}+-9*$|^9999-9|^9+\.9+$")
     closed = F.col("cut").rlike(r"\)$")
-    truncated = fence | F.col("cut").rlike(_OPEN) | unclosed | (~closed & (half_word | lower | inside | number)) | ((F.col("cut") != F.col("text")) & (F.coalesce(rate, F.lit(0.0)) < 0.5))
-    return asked.select("key", truncated.alias("truncated"))
+    truncated = fence | F.col("cut").rlike(_OPEN) | unclosed | (~closed & (half_word | (~given & (lower | inside | number)))) | ((F.col("cut") != F.col("text")) & (F.coalesce(rate, F.lit(0.0)) < 0.5))
+    return asked.select("text", truncated.alias("truncated"))
 
 
 def asked_languages(model: LanguageModel, questions: list[str]) -> list[str | None]:
@@ -186,7 +195,7 @@ def reply_languages(model: LanguageModel, questions: list[str], texts: list[str]
         if not real:
             out.append(LANGUAGES[int(own[0].argmax())] if own[0].max() >= 0.9 else None)
             continue
-        if len(body) < 60 and wanted and own[0][LANGUAGES.index(wanted)] > 0.002 and len(re.findall(r"[^\W\d_]+", body)) < 7:
+        if len(body) < 60 and wanted and own[0][LANGUAGES.index(wanted)] > 0.002 and len(re.findall(r"[^\W\d_]+", body)) < FEW_WORDS:
             out.append(wanted)
             continue
         sure = own.max(axis=1) >= model.threshold
@@ -226,17 +235,18 @@ def defects(pairs: DataFrame, keys: list[str], question: str, text: str, model:
     refuses = (said <= 300) & plain.rlike(REFUSAL) & ~F.substring(plain, 1, 60).rlike(r"(?iu)^(?:no|yes|sí|ja|nein|oui|non)[,.;]")
     first = F.when(is_empty(F.col("raw")), "empty").when(is_copy(F.col("question"), plain), "copy").when(F.coalesce(refuses, F.lit(False)), "refusal")
     rows = checkpoint(rows.withColumn("first", first).drop("raw"))
-    stops = _stops(rows.where("first IS NULL").select("key", "text"))
+    stops = _stops(rows.where("first IS NULL").groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct(F.xxhash64("question")).alias("said")))
     spoken = rows.where("first IS NULL AND question <> ''").select("key", "question", "text")
     other = _languages_of(spoken, model)
-    joined = rows.join(stops, "key", "left").join(other, "key", "left")
+    joined = rows.join(stops, "text", "left").join(other, "key", "left")
     defect = F.coalesce("first", F.when(F.col("truncated"), "truncated"), F.when(F.col("other"), "other_language"))
     return joined.select(*keys, defect.alias("defect")).where("defect IS NOT NULL").distinct()
 
 
 def _languages_of(spoken: DataFrame, model: LanguageModel) -> DataFrame:
-    """``key, other``: whether a reply is in another language than asked for. A short reply that is given again and again
-    has the language in which most of its questions are asked: alone it can be right in several."""
+    """``key, other``: whether a reply is in another language than asked for. A reply of a few words that is given again and
+    again has the language in which most of its questions are asked, if the model can't tell its language or tells one in
+    which such words are often the same; otherwise the model decides, however often the reply is given."""
     kind = spoken.schema["key"].dataType.simpleString()
     # the key goes through Python as JSON text
     flat = spoken.select(F.to_json("key").alias("key"), "question", "text").mapInPandas(_languages(model), "key string, text string, asked string, spoken string")
@@ -244,5 +254,7 @@ def _languages_of(spoken: DataFrame, model: LanguageModel) -> DataFrame:
     short = flat.where(F.length("text") <= 60).groupBy("text", "asked").count()
     usual = short.groupBy("text").agg(F.max_by("asked", "count").alias("usual"), F.max("count").alias("most"), F.sum("count").alias("all"))
     usual = usual.where((F.col("all") >= SEEN) & (F.col("most") >= 0.6 * F.col("all"))).select("text", "usual")
-    out = flat.join(usual, "text", "left").withColumn("spoken", F.coalesce("usual", "spoken"))
+    few = F.size(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))) < FEW_WORDS
+    alike = reduce(or_, [F.col("usual").isin(*group) & F.col("spoken").isin(*group) for group in _ALIKE])
+    out = flat.join(usual, "text", "left").withColumn("spoken", F.when(F.col("spoken").isNull() | (few & alike), F.coalesce("usual", "spoken")).otherwise(F.col("spoken")))
     return out.select(F.from_json("key", kind).alias("key"), (F.col("spoken") != F.col("asked")).alias("other"))

@@ -52,6 +52,18 @@ def test_replies(spark, model):
     assert replies.defects(df.limit(0), ["case_id", "trial"], "question", "answer", model).count() == 0
 
 
+def test_copies_of_a_reply_are_judged_like_one(spark, model):
+    good = ["The weekly report replaces the old index for every customer.", *(f"The report {a}{b} replaces the plan of the team." for a in "mnprst" for b in "aeiou")]
+    cut = ["The weekly report replaces the", "It works with the list (see the", "It works for the team,", "It works.\n```json\n{\"a\": [1"]
+    german = "Das Fenster der Meldungen begrenzt die Suche."
+    rows = [(f"g{i}", "Which limits apply to the weekly report queue?", t) for i, t in enumerate(good)]
+    rows += [(f"c{k}-{n}", f"Which limits apply to the weekly report number {k}?", t) for n, t in enumerate(cut) for k in range(6)]
+    rows += [(f"d{k}", f"Which limits apply to the weekly report number {k}?", german) for k in range(6)]
+    df = spark.createDataFrame([(i, 0, q, t) for i, q, t in rows], "case_id string, trial int, question string, answer string")
+    got = {r.case_id: r.defect for r in replies.defects(df, ["case_id", "trial"], "question", "answer", model).collect()}
+    assert got == {f"c{k}-{n}": "truncated" for n in range(4) for k in range(6)} | {f"d{k}": "other_language" for k in range(6)}
+
+
 @pytest.fixture(scope="module")
 def field():
     return pii.train(count=1500, epochs=8)
