@@ -57,6 +57,12 @@ def memory_conflicts(spark, folder):
     return M.conflicts(rows.where("ord % 10 = 0"), rows, AS_OF)
 
 
+def memory_conflicts_all(spark, folder):
+    """The conflicts of every entry; the SQL of ``memory_conflicts`` is held to every tenth."""
+    rows = entries(spark, folder)
+    return M.conflicts(rows, rows, AS_OF)
+
+
 def memory_invalidate(spark, folder):
     rows = entries(spark, folder)
     out = M.invalidate(rows, rows.where("ord % 100 = 0"), AS_OF)
@@ -105,7 +111,7 @@ def memory_semantic_onehop(spark, folder):
 
 def memory_reverse_links(spark, folder):
     rows = entries(spark, folder)
-    linked = M.reverse_links(rows.where("ord % 10 = 0"), rows.select("id", "namespace", "related_ids", "invalidated_at", "expires_at"), AS_OF)
+    linked = M.reverse_links(rows, rows.select("id", "namespace", "related_ids", "invalidated_at", "expires_at"), AS_OF)
     return linked.select("id", F.array_join("related_ids", ",").alias("related"))
 
 
@@ -135,7 +141,7 @@ def reflection_points(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        memory_rejected, memory_latest, memory_log_newest, memory_active, memory_conflicts, memory_invalidate, memory_fallback_search, memory_lexical, memory_episodic, memory_hybrid_routed, memory_multi_store,
+        memory_rejected, memory_latest, memory_log_newest, memory_active, memory_conflicts, memory_conflicts_all, memory_invalidate, memory_fallback_search, memory_lexical, memory_episodic, memory_hybrid_routed, memory_multi_store,
         memory_search_filtered, memory_context, memory_semantic_onehop, memory_reverse_links, memory_related, memory_policy_filter, memory_metadata_filter, reflection_sources, reflection_points,
     )
 }
