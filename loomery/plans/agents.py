@@ -201,7 +201,7 @@ def stream_reflection_threshold(spark, folder):
 
 
 def stream_windows(spark, folder):
-    return _run(spark, triggers.windowed_counts(_stream(spark, folder), "ts", "event_type", "1 day", "0 seconds"))
+    return _run(spark, triggers.windowed_counts(_stream(spark, folder), "ts", "event_type", "1 day", "0 seconds"), "complete")
 
 
 QUERIES = {

@@ -39,12 +39,19 @@ def threshold_points(stream: DataFrame, key: str, ts: str, ord: str, weight: str
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str = "1 day", late: str = "30 days") -> DataFrame:
-    """Rows and distinct keys in each tumbling window, with a watermark."""
+    """Rows for each key in each tumbling window, with a watermark. In append mode a window is written once the watermark
+    has passed it, which the last ones of a bounded run never see; ``run_once`` in mode complete writes all."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), key).agg(F.count(F.lit(1)).alias("rows")).select(F.col("w.start").alias("start"), key, "rows")
 
 
 def run_once(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into parquet files, and read them."""
+    """Run a stream over all that is there, into parquet files, and read them. In mode complete each batch replaces the
+    files by the whole result."""
+    if mode == "complete":
+        stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(out)  # of a stream without rows
+        query = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(out)
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)

@@ -1,4 +1,13 @@
-from loomery.plans import memory
+from datetime import datetime
+
+from loomery.plans import agents, memory
+
+
+def test_windows_add_up_to_all_rows(spark, tmp_path):
+    rows = [(i, i % 3, datetime(2024, 1, 1 + i % 3, 12), "click" if i % 2 else "view", 1.0) for i in range(30)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = agents.stream_windows(spark, str(tmp_path)).collect()
+    assert sum(r.rows for r in out) == 30 and len(out) == 6
 
 
 def test_every_entry_is_a_new_one(spark, tmp_path):
