@@ -1,8 +1,8 @@
 """Defective replies: empty, truncated, refusals, copies of the question, answers in another language.
 
 Whether a reply stops early is read from the corpus itself. Replies are sorted by text within their first characters and
-compared with the next one, which shows shortened versions; reply lengths that occur far more often than those around
-them show length limits; and for each word, alone and after its predecessor, the share of its occurrences that end a
+compared with the next different one, which shows shortened versions; reply lengths that occur far more often than those
+around them show length limits; and for each word, alone and after its predecessor, the share of its occurrences that end a
 sentence or a line tells whether a reply may stop after it. All counts cover all replies.
 """
 
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from loomery.llm.language import LANGUAGES, LanguageModel, normal, sentences
 from loomery.session import checkpoint
 
-PREFIX = 24
+PREFIX = 8
+#: Shorter replies can be whole and yet begin longer ones.
+LEAST_WORDS = 4
 #: Words and pairs with fewer occurrences tell nothing.
 SEEN = 5
 RARELY, SELDOM = 0.02, 0.15
@@ -142,10 +144,13 @@ def _stops(texts: DataFrame) -> DataFrame:
     around = Window.partitionBy(F.floor(F.col("size") / 1000)).orderBy("size").rangeBetween(-6, 6)  # one row for each length
     lengths = lengths.withColumn("usual", (F.sum("n").over(around) - F.col("n")) / F.greatest(F.count("n").over(around) - 1, F.lit(1)))
     spikes = lengths.where((F.col("n") >= 20) & (F.col("n") >= 4 * F.col("usual"))).select("size", F.lit(True).alias("spike"))
-    near = texts.where(size > PREFIX).select("text", F.substring("text", 1, PREFIX).alias("head"))
+    # the next different text shows the longer version, if there is any: nothing sorts between but other versions of it
+    near = texts.select("text", F.substring("text", 1, PREFIX).alias("head"))
     following = near.withColumn("next", F.lead("text").over(Window.partitionBy("head").orderBy("text")))
     rest = F.substring(F.col("next"), F.length("text") + 1, F.lit(4))
-    shortened = following.where(F.col("next").startswith(F.col("text")) & rest.rlike(r"^(?:[\p{L}\p{N}]|[ ,]+[\p{L}\p{N}(])")).select("text", F.lit(True).alias("shortened"))
+    words = F.size(F.split(F.trim("text"), r"\s+"))
+    goes_on = rest.rlike(r"^[\p{L}\p{N}]") | (rest.rlike(r"^[ ,]+[\p{L}\p{N}(]") & F.col("next").rlike(_CLOSED))
+    shortened = following.where(F.col("next").startswith(F.col("text")) & goes_on & (words >= LEAST_WORDS)).select("text", F.lit(True).alias("shortened"))
 
     last = _items(F.regexp_extract(F.col("cut"), r"(?s).{0,80}\z", 0))
     asked = open_.withColumn("i", last).withColumn("w", F.try_element_at("i", F.lit(-1))["w"])
@@ -159,12 +164,13 @@ def _stops(texts: DataFrame) -> DataFrame:
     fence = F.size(F.split("cut", "```")) % 2 == 0
     half_word = F.col("n1").isNull() & F.coalesce("begins", F.lit(False))
     lower = F.col("n1").isNull() & F.col("w").rlike(r"^\p{Ll}") & (F.length("w") > 0)
-    hint = F.coalesce("spike", "shortened", F.lit(False))
-    inside = F.coalesce(rate < F.when(hint | (F.col("cut") != F.col("text")), SELDOM).otherwise(RARELY), F.lit(False))
+    # a longer version or a spike of the length decides, but where the last word mostly ends sentences
+    proven = F.coalesce("shortened", "spike", F.lit(False)) & (F.coalesce(rate, F.lit(0.0)) < 0.5)
+    inside = F.coalesce(rate < F.when(F.col("cut") != F.col("text"), SELDOM).otherwise(RARELY), F.lit(False))
     given = F.coalesce((F.col("said") >= SEEN) & (F.coalesce("f1", F.lit(0)) + F.col("said") >= SELDOM * (F.coalesce("n1", F.lit(0)) + F.col("said"))), F.lit(False))
     number = F.col("n1").isNull() & F.col("w").rlike("9") & F.col("w").rlike(r"^\p{Lu}+-9*$|^9999-9|^9+\.9+$")
     closed = F.col("cut").rlike(r"\)$")
-    truncated = fence | F.col("cut").rlike(_OPEN) | unclosed | (~closed & (half_word | (~given & (lower | inside | number)))) | ((F.col("cut") != F.col("text")) & (F.coalesce(rate, F.lit(0.0)) < 0.5))
+    truncated = fence | proven | F.col("cut").rlike(_OPEN) | unclosed | (~closed & (half_word | (~given & (lower | inside | number)))) | ((F.col("cut") != F.col("text")) & (F.coalesce(rate, F.lit(0.0)) < 0.5))
     return asked.select("text", truncated.alias("truncated"))
 
 

@@ -64,6 +64,17 @@ def test_copies_of_a_reply_are_judged_like_one(spark, model):
     assert got == {f"c{k}-{n}": "truncated" for n in range(4) for k in range(6)} | {f"d{k}": "other_language" for k in range(6)}
 
 
+def test_longer_versions_and_length_spikes_decide(spark):
+    whole = [f"The team {a}{b} replaces the plan of the queue." for a in "mnprst" for b in "aeiou"] + [f"{a}{b} has a Queue." for a in "mnprst" for b in "aeiou"]
+    cut = ["Every limit of this Queue", "Ask for the Queue", "Every key of this Queu"]
+    longer = ["Every limit of this Queue applies to the team.", "Ask for the Queue in May.", "Every key of this Queue"]
+    whole += [f"The plan {a}{b} has no Queue and no limits for the Team {'x' * k}." for a in "mnprst" for b in "aeiou" for k in (1,)]
+    spikes = [f"The plan {a}{b}{c} holds for every team with the old index and the Queue" for a in "mnprst" for b in "aeiou" for c in "kl"]
+    rows = [(t, 1, 1) for t in whole + longer + spikes] + [(t, k, 1) for k, t in enumerate(cut, start=1)]
+    got = {r.text for r in replies._stops(spark.createDataFrame(rows, "text string, copies int, said int")).where("truncated").collect()}
+    assert got == set(cut) | set(spikes)
+
+
 @pytest.fixture(scope="module")
 def field():
     return pii.train(count=1500, epochs=8)
