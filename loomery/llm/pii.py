@@ -5,8 +5,7 @@ do the occurrences of one word in a document, however far apart: the label that
 the others. Marginals come from loopy message passing, vectorised in numpy over all words of a batch. The weights are
 trained by pseudo-likelihood on sentences of a grammar (``pii_training``).
 
-A regex in the JVM decides which texts hold any candidate at all (an @ or its spelling, a long number, a given name, a
-title, a word of streets); the others have no part in the inference. Found spans are trimmed and checked for form.
+The field reads every text as a whole, whatever words it holds. Found spans are trimmed and checked for form.
 """
 
 from __future__ import annotations
@@ -372,8 +371,9 @@ def checked(text: str, a: int, b: int, kind: str, sure: float, given: set[str])
     return (a, b) if len(words) >= 2 and any(c.isdigit() for c in text[a:b]) else None
 
 
-def find(field: Field, texts: list[str], cue: re.Pattern) -> list[list[tuple[int, int, str, float]]]:
-    """For each text its personal details in order: (start, end, label, probability)."""
+def find(field: Field, texts: list[str], cue: re.Pattern | None = None) -> list[list[tuple[int, int, str, float]]]:
+    """For each text its personal details in order: (start, end, label, probability). With ``cue`` only the surroundings of
+    its matches are read."""
     b = read(texts, field.encoder, cue)
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     p = field.marginals(b)
@@ -408,15 +408,14 @@ def _python_pattern(pattern: str) -> re.Pattern:
 FOUND = "array<struct<pii_type:string,start_pos:int,end_pos:int,confidence:double>>"
 
 
-def _marked(field: Field, pattern: str):
+def _marked(field: Field):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cue = _python_pattern(pattern)
         for whole in batches:
             for begin in range(0, len(whole), 2000):
                 pdf = whole.iloc[begin : begin + 2000]
                 texts = [t if isinstance(t, str) else "" for t in pdf["__text"]]
                 found, clean = [], []
-                for t, spans in zip(texts, find(field, texts, cue)):
+                for t, spans in zip(texts, find(field, texts)):
                     found.append([{"pii_type": TYPES[k], "start_pos": a + 1, "end_pos": b, "confidence": c} for a, b, k, c in spans])
                     at, parts = 0, []
                     for a, b, k, _ in spans:
@@ -429,7 +428,7 @@ def _marked(field: Field, pattern: str):
     return run
 
 
-def redact(df: DataFrame, text: str, field: Field, given: list[str] | None = None) -> DataFrame:
+def redact(df: DataFrame, text: str, field: Field) -> DataFrame:
     """Add ``pii`` (type, start and end place from 1, confidence of every personal detail) and ``redacted`` (the text
     with typed placeholders such as [EMAIL], otherwise unchanged).
 
@@ -437,8 +436,7 @@ def redact(df: DataFrame, text: str, field: Field, given: list[str] | None = Non
     named like the added ones are replaced.
     """
     df = df.select(*[c for c in df.columns if c not in ("pii", "redacted")])
-    pattern = trigger(given or pii_training.GIVEN)
-    marked = df.withColumn("__text", F.when(F.col(text).rlike(pattern), F.col(text)))
+    marked = df.withColumn("__text", F.col(text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    out = marked.mapInPandas(_marked(field, pattern), f"{fields}, __found {FOUND}, __clean string")
+    out = marked.mapInPandas(_marked(field), f"{fields}, __found {FOUND}, __clean string")
     return out.select(*df.columns, F.col("__found").alias("pii"), F.coalesce("__clean", F.col(text)).alias("redacted"))

@@ -96,3 +96,9 @@ def test_redaction(spark, field):
     assert len(out) == 6 and got[0].redacted == "My name is [NAME] and I still wait for a reply." and got[0].pii[0].start_pos == 12
     assert got[1].redacted is None and got[1].pii == [] and got[2].redacted == "" and got[4].redacted == rows[4][1]
     assert got[3].redacted.endswith("Write to [EMAIL] first.") and got[3].pii[0].start_pos == long.index("anna") + 1
+
+
+def test_details_without_a_listed_cue(spark, field):
+    texts = ["12 Old Mill Road, Ashton", "Thanks,\nTobias Kellner", "Tax number QQ 38 80 91 C belongs to the same account holder."]
+    got = {r.content: [d.pii_type for d in r.pii] for r in pii.redact(spark.createDataFrame([(t,) for t in texts], "content string"), "content", field).collect()}
+    assert [got[t] for t in texts] == [["address"], ["name"], ["id_number"]]
