@@ -55,7 +55,8 @@ def clamp(score: Column) -> Column:
 
 
 def blend(relevance: Column, importance: Column) -> Column:
-    return F.when(importance.isNull(), clamp(relevance)).otherwise(clamp(relevance * 0.7 + importance * 0.3))
+    """Both are brought into [0, 1] before they are weighed; without an importance the relevance counts alone."""
+    return F.when(importance.isNull(), clamp(relevance)).otherwise(clamp(clamp(relevance) * 0.7 + clamp(importance) * 0.3))
 
 
 def recency(created: Column, as_of_us: Column, rate: float = 0.01) -> Column:
@@ -134,7 +135,8 @@ def searchable(namespace: Column, memory_type: Column, key: Column, content: Col
 
 
 def is_overflow(message: Column) -> Column:
-    return F.lower(message).rlike("|".join(OVERFLOW_MARKERS))
+    """Whether an error message says that a prompt is too long; null for null."""
+    return F.exists(F.array(*map(F.lit, OVERFLOW_MARKERS)), lambda marker: F.contains(F.lower(message), marker))
 
 
 def safe_name(session_id: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -96,26 +98,37 @@ def failures(scores: DataFrame) -> DataFrame:
     return scores.where("NOT passed")
 
 
+def verdict(reply: str | None) -> tuple[bool, float, str] | None:
+    """(passed, score, reason) of a judge's reply; None when it is no JSON object, when ``passed`` is not true or false, or
+    when ``score`` is no number. An absent score is 0; scores are brought into [0, 1]."""
+    try:
+        found = json.loads(re.sub(r"^\s*`+(?:json)?|`+\s*$", "", reply or ""))
+        if isinstance(found, dict) and isinstance(found.get("passed"), bool):
+            return found["passed"], min(1.0, max(0.0, float(found.get("score", 0.0)))), str(found.get("reason", "")).strip()
+    except (ValueError, TypeError):
+        pass
+    return None
+
+
+def answered(df: DataFrame, prompt: str, model: Callable[[str], str], name: str) -> DataFrame:
+    """Add the model's answer to each prompt as column ``name``; null for a null prompt."""
+    df = df.select(*[c for c in df.columns if c != name])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{name: [model(t) if isinstance(t, str) else None for t in pdf[prompt]]})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{fields}, `{name}` string")
+
+
 def judged(df: DataFrame, prompt: str, judge: Callable[[str], str], tries: int = 2) -> DataFrame:
     """Add ``passed, score, reason`` from the JSON verdict of a judge model, asked again when it gives none; after
-    ``tries`` failures a null verdict, with the reason."""
+    ``tries`` failures passed and score are null and the reason is the code of a judge error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        def verdict(text: str) -> tuple[bool | None, float | None, str]:
-            for _ in range(tries):
-                reply = judge(text).strip().strip("`").removeprefix("json")
-                try:
-                    found = json.loads(reply)
-                    score = min(1.0, max(0.0, float(found.get("score", 1.0 if found["passed"] else 0.0))))
-                    return bool(found["passed"]), score, str(found.get("reason", ""))
-                except (ValueError, KeyError, TypeError, AttributeError):
-                    continue
-            return None, None, JudgeError.code
-
         for pdf in batches:
-            rows = [verdict(t or "") for t in pdf[prompt]]
+            rows = [next((v for _ in range(tries) if (v := verdict(judge(t or "")))), (None, None, JudgeError.code)) for t in pdf[prompt]]
             yield pdf.assign(passed=pd.array([r[0] for r in rows], dtype="boolean"), score=[r[1] for r in rows], reason=[r[2] for r in rows])
 
     df = df.select(*[c for c in df.columns if c not in ("passed", "score", "reason")])

@@ -200,20 +200,21 @@ def episodic_search(queries: DataFrame, entries: DataFrame, as_of: str) -> DataF
 
 def semantic_search(queries: DataFrame, hits: DataFrame, entries: DataFrame, as_of: str, hop: float = 0.9) -> DataFrame:
     """Vector ``hits`` (query_id, rank, id, score: ten times the limit) that match the query, blended with importance,
-    and one hop along their links at a discount. A hit is worth its own score, a linked entry the first that links to
-    it; collecting stops with the hit at which the limit is reached. Rows of a query are bounded by ten times its limit
-    and the links of an entry by their cap, so the windows are small."""
+    and one hop along all their links. A linked entry has ``hop`` times the relevance of the first hit that links to it,
+    blended with its own importance; a hit is worth its own score even where one is linked before. Collecting stops with
+    the hit at which the limit is reached. A query has at most ten times its limit of hits, so the windows are small."""
     match = matching(queries, entries, as_of).select("query_id", "id", "ord", "importance", "related_ids", "limit")
-    direct = hits.where("score > 0").join(match, ["query_id", "id"]).withColumn("value", T.blend(F.col("score"), F.col("importance")))
-    out = F.explode(F.slice(F.coalesce("related_ids", F.array().cast("array<string>")), 1, MOST_LINKS))
-    linked = direct.select("query_id", "rank", F.col("value").alias("source_value"), out.alias("id")).join(match.select("query_id", "id", "ord", "limit"), ["query_id", "id"])
-    both = direct.select("query_id", "rank", "id", "ord", "limit", "value", F.lit(0).alias("hop")).unionByName(linked.select("query_id", "rank", "id", "ord", "limit", (F.col("source_value") * hop).alias("value"), F.lit(1).alias("hop")))
+    direct = hits.where("score > 0").join(match, ["query_id", "id"]).select("query_id", "rank", "id", "ord", "limit", F.col("score").alias("relevance"), "importance", "related_ids", F.lit(0).alias("hop"))
+    links = direct.select("query_id", "rank", (F.col("relevance") * hop).alias("relevance"), F.explode("related_ids").alias("id"))
+    linked = links.join(match, ["query_id", "id"]).withColumn("hop", F.lit(1))
+    columns = ["query_id", "rank", "id", "ord", "limit", "relevance", "importance", "hop"]
+    both = direct.select(columns).unionByName(linked.select(columns))
     first = Window.partitionBy("query_id", "id").orderBy("rank", "hop")
     both = both.withColumn("seen", F.row_number().over(first))
     upto = Window.partitionBy("query_id").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
     kept = both.withColumn("before", F.coalesce(F.sum((F.col("seen") == 1).cast("int")).over(upto), F.lit(0))).where(F.col("before") < F.col("limit"))
-    value = F.min(F.struct("hop", "rank", "value"))["value"]
-    entry = kept.groupBy("query_id", "id", "ord", "limit").agg(value.alias("score"))
+    value = F.min(F.struct("hop", "rank", "relevance", "importance")).alias("v")
+    entry = kept.groupBy("query_id", "id", "ord", "limit").agg(value).withColumn("score", T.blend(F.col("v.relevance"), F.col("v.importance")))
     return top_k(entry, ["query_id"], "score", F.col("limit"), ["ord"]).select("query_id", "rank", "id", "ord", "score")
 
 

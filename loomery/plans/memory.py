@@ -53,12 +53,6 @@ def memory_active(spark, folder):
 
 
 def memory_conflicts(spark, folder):
-    rows = entries(spark, folder)
-    return M.conflicts(rows.where("ord % 10 = 0"), rows, AS_OF)
-
-
-def memory_conflicts_all(spark, folder):
-    """The conflicts of every entry; the SQL of ``memory_conflicts`` is held to every tenth."""
     rows = entries(spark, folder)
     return M.conflicts(rows, rows, AS_OF)
 
@@ -141,7 +135,7 @@ def reflection_points(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        memory_rejected, memory_latest, memory_log_newest, memory_active, memory_conflicts, memory_conflicts_all, memory_invalidate, memory_fallback_search, memory_lexical, memory_episodic, memory_hybrid_routed, memory_multi_store,
+        memory_rejected, memory_latest, memory_log_newest, memory_active, memory_conflicts, memory_invalidate, memory_fallback_search, memory_lexical, memory_episodic, memory_hybrid_routed, memory_multi_store,
         memory_search_filtered, memory_context, memory_semantic_onehop, memory_reverse_links, memory_related, memory_policy_filter, memory_metadata_filter, reflection_sources, reflection_points,
     )
 }
@@ -153,7 +147,8 @@ _BASE = f"""
 e AS (SELECT *, {_TEXT} AS text FROM {ENTRIES}),
 q AS (SELECT ord AS query_id, namespace AS qns, content AS query FROM e WHERE ord % 100 = 0),
 cand AS (SELECT q.query_id, q.query, e.* FROM q JOIN e ON e.namespace[1:len(q.qns)] = q.qns WHERE {_LIVE})"""
-_BLEND = "CASE WHEN importance IS NULL THEN greatest(0e0, least(1e0, {r})) ELSE greatest(0e0, least(1e0, {r} * 0.7e0 + importance * 0.3e0)) END"
+_UNIT = "least(1e0, greatest(0e0, {x}))"
+_BLEND = f"coalesce(0.7e0 * {_UNIT.format(x='{r}')} + 0.3e0 * {_UNIT.format(x='importance')} + CASE WHEN importance IS NOT NULL THEN 0e0 END, {_UNIT.format(x='{r}')})"
 _LEX = (
     _BASE
     + rf""",
@@ -187,7 +182,7 @@ ORACLE = {
     "memory_active": f"SELECT memory_type, count(*) AS active, round(avg(importance), 6) AS importance FROM {ENTRIES} WHERE {_LIVE} GROUP BY memory_type",
     "memory_conflicts": f"""WITH e AS (SELECT *, {_FOLD} AS fold, regexp_replace(trim(lower(coalesce(metadata['subject'], metadata['name']))), '\\s+', ' ', 'g') AS subject FROM {ENTRIES})
 SELECT DISTINCT n.id AS new_id, o.id AS old_id FROM e n JOIN (SELECT * FROM e WHERE {_LIVE}) o ON n.namespace = o.namespace AND n.memory_type = o.memory_type AND n.id <> o.id AND n.fold <> o.fold
-  AND (n.key = o.key OR (n.memory_type IN ('preference', 'entity') AND n.subject = o.subject)) WHERE n.ord % 10 = 0""",
+  AND (n.key = o.key OR (n.memory_type IN ('preference', 'entity') AND n.subject = o.subject))""",
     "memory_invalidate": f"""WITH e AS (SELECT * FROM {ENTRIES}), k AS (SELECT DISTINCT namespace, key FROM e WHERE ord % 100 = 0)
 SELECT memory_type, count(*) FILTER (invalidated_at IS NOT NULL OR k.key IS NOT NULL) AS closed, count(*) AS rows FROM e LEFT JOIN k ON e.namespace = k.namespace AND e.key = k.key GROUP BY memory_type""",
     "memory_fallback_search": f"""WITH {_BASE} SELECT query_id, rank, id, score FROM (SELECT query_id, id, round(coalesce(importance, 0e0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(importance, 0e0), 9) DESC, ord) AS rank

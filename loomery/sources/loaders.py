@@ -45,8 +45,11 @@ def files(spark: SparkSession, path: str, pattern: str = "*", ignore_unsupported
     texts = rows.where(F.col("suffix").isin(list(TEXT_TYPES))).select("source", "suffix", F.decode("content", encoding).alias("content"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("total_pages"))
     words = rows.where(F.col("suffix") == ".docx").select("source", "suffix", docx_text(F.col("content")).alias("content"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("total_pages"))
     out = texts.unionByName(words)
+    pdfs = rows.where(F.col("suffix") == ".pdf")
     if _has_pdf():
-        out = out.unionByName(pdf_pages(rows.where(F.col("suffix") == ".pdf")))
+        out = out.unionByName(pdf_pages(pdfs))
+    elif (one := pdfs.select("source").head()) is not None:
+        raise MissingDependencyError("reading pdf needs pypdf", path=one["source"])
     mime = F.create_map(*[F.lit(x) for pair in (TEXT_TYPES | BINARY_TYPES).items() for x in pair])
     base = F.create_map(F.lit("source"), F.col("source"), F.lit("file_name"), F.element_at(F.split("source", "/"), -1), F.lit("mime_type"), F.try_element_at(mime, F.col("suffix")))
     given = F.create_map(*[F.lit(x) for pair in (metadata or {}).items() for x in pair]).cast("map<string,string>")

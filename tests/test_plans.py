@@ -14,5 +14,5 @@ def test_every_entry_is_a_new_one(spark, tmp_path):
     rows = [(i, f"m{i}", ["user", "a"], "fact", "city", f"City {i}", None, None, None, [f"m{(i + 1) % 3}"]) for i in range(1, 3)] + [(0, "m0", ["user", "a"], "fact", "other", "Nothing", None, None, None, ["m1"])]
     schema = "ord bigint, id string, namespace array<string>, memory_type string, key string, content string, metadata map<string, string>, invalidated_at string, expires_at string, related_ids array<string>"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/memory_store.parquet")
-    assert {tuple(r) for r in memory.QUERIES["memory_conflicts_all"](spark, str(tmp_path)).collect()} == {("m1", "m2"), ("m2", "m1")}
+    assert {tuple(r) for r in memory.QUERIES["memory_conflicts"](spark, str(tmp_path)).collect()} == {("m1", "m2"), ("m2", "m1")}
     assert {r.id: r.related for r in memory.memory_reverse_links(spark, str(tmp_path)).collect()} == {"m0": "m2,m1", "m1": "m0,m2", "m2": "m1,m0"}
