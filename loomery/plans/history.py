@@ -5,21 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.operators.history import attribute_state, history
+from loomery.operators.history import history, hot_keys, merge_updates, with_state
 from loomery.plans.tables import table
 
+#: Between the first load and the batch of ``p3_merged``.
+CUT = "2025-06-01 00:00:00"
+KEYS = ["namespace", "key"]
 
-def p3_versions(spark: SparkSession, folder: str) -> DataFrame:
-    log = table(spark, folder, "memory_entries").select("namespace", "key", "created_at", "ord", "invalidated_at", attribute_state(F.col("data")).alias("state"))
-    versions = history(log, ["namespace", "key"], "created_at", ["ord"], "state", "invalidated_at")
+
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "memory_entries").where("namespace IS NOT NULL AND key IS NOT NULL AND created_at IS NOT NULL")
+    return with_state(rows.select(*KEYS, "created_at", "ord", "invalidated_at", "data"), "data")
+
+
+def _closed(versions: DataFrame) -> DataFrame:
     return versions.withColumn("valid_to_us", F.coalesce("valid_to_us", F.lit(-1).cast("bigint")))
 
 
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    hot = hot_keys(table(spark, folder, "memory_entries").select(*KEYS).where("key IS NOT NULL"), KEYS)
+    return history(_log(spark, folder), KEYS, "created_at", ["ord"], "state", "invalidated_at", hot=hot)
+
+
+def p3_versions(spark: SparkSession, folder: str) -> DataFrame:
+    return _closed(_versions(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p3_versions(spark, folder).select("namespace", "key", "valid_from_us", "valid_to_us").distinct()
+    """Versions are one for each key and start, so no rows repeat."""
+    return _closed(_versions(spark, folder)).select("namespace", "key", "valid_from_us", "valid_to_us")
+
+
+def p3_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The versions of the log up to ``CUT`` with the rest of it merged into them."""
+    log = _log(spark, folder)
+    loaded = history(log.where(F.col("created_at") < F.lit(CUT).cast("timestamp")), KEYS, "created_at", ["ord"], "state", "invalidated_at")
+    return _closed(merge_updates(loaded, log.where(F.col("created_at") >= F.lit(CUT).cast("timestamp")), KEYS, "created_at", ["ord"], "state", "invalidated_at"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_versions": p3_versions}
+QUERIES = {"p3_found": p3_found, "p3_versions": p3_versions, "p3_merged": p3_merged}
 
 _VERSIONS = """
 WITH parsed AS (
@@ -47,4 +71,5 @@ FROM numbered GROUP BY namespace, key, version
 ORACLE = {
     "p3_found": f"SELECT DISTINCT namespace, key, valid_from_us, valid_to_us FROM ({_VERSIONS})",
     "p3_versions": _VERSIONS,
+    "p3_merged": _VERSIONS,
 }
