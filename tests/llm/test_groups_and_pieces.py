@@ -99,19 +99,39 @@ def test_packing(spark):
     assert pack(df.limit(0), "id", "n", 100, parts=2).count() == 0
 
 
+@pytest.mark.parametrize("low,high,most", [(1100, 1301, 1.0), (500, 701, 1.14), (300, 2049, 1.06)])
+def test_packing_of_awkward_sizes(spark, low, high, most):
+    """Only containers still open go up, whatever the sizes; the bound is the number of items over half the capacity or of
+    the sum, whichever is more."""
+    rng = np.random.default_rng(low)
+    sizes = [int(x) for x in rng.integers(low, high, 6000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id bigint, n int")
+    out = pack(df, "id", "n", 2048, windows=64, parts=4).toPandas()
+    least = max(-(-sum(sizes) // 2048), sum(n > 1024 for n in sizes))
+    assert out.groupby("container")["size"].sum().max() <= 2048 and len(out) == 6000
+    assert out["container"].nunique() <= most * least  # of 500 to 700 three go in one
+
+
 def test_packer_keeps_few_open():
     p = Packer(10, 2)
-    assert [p.place(n) for n in (6, 6, 4, 6, 4)] == [0, 1, 0, 2, 1] or len(p.open) <= 2
+    assert [p.place(n) for n in (6, 6, 4, 6, 7, 4)] == [0, 1, 0, 2, 3, 2] and len(p.open) <= 2
+    p = Packer(10, 2)
+    assert [p.place(n) for n in (6, 7, 10, 10, 3, 4)] == [0, 1, 2, 3, 1, 0]
 
 
 def test_weights():
     natural = mixing.temperature_weights({"a": 90, "b": 10})
     flat = mixing.temperature_weights({"a": 90, "b": 10}, target_entropy=0.6)
     assert abs(natural["a"] - 0.5) < 1e-6 and abs(mixing.entropy(flat) - 0.6) < 1e-6
-    w, total = mixing.target_weights({"a": 100, "b": 100}, {"a": 0.8, "b": 0.2}, {"a": 2, "b": 1})
-    assert abs(w["a"] - 0.8) < 1e-9 and abs(total - 250) < 1e-6
-    w, total = mixing.target_weights({"a": 100, "b": 100}, {"a": 0.8, "b": 0.2}, {"a": 1, "b": 1}, 150)
-    assert total * w["a"] <= 100 + 1e-6 and abs(total - 150) < 1e-3
+    w, total, x = mixing.target_weights({"a": 100, "b": 100}, {"a": 0.8, "b": 0.2}, {"a": 2, "b": 1}, 250)
+    assert abs(w["a"] - 0.8) < 1e-9 and abs(total - 250) < 1e-6 and x == 1
+    w, total, x = mixing.target_weights({"a": 100, "b": 100}, {"a": 0.8, "b": 0.2}, {"a": 1, "b": 1}, 150)
+    assert total * w["a"] <= 100 + 1e-6 and abs(total - 150) < 1e-3 and 0 < x < 1
+    w, total, _ = mixing.target_weights({"a": 100, "b": 100, "c": 9}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 1, "c": 0}, 100)
+    assert "c" not in w and abs(w["a"] - 0.625) < 1e-9 and abs(total - 100) < 1e-6
+    assert "b" not in mixing.temperature_weights({"a": 5, "b": 5}, repeats={"a": 1, "b": 0}, total=4)
+    sizes = {"a": 800.0, "b": 150.0, "c": 50.0}
+    assert abs(mixing.exponent_of(sizes, mixing.temperature_weights(sizes, target_entropy=0.9)) - 0.57) < 0.2
 
 
 def test_mix(spark):
@@ -119,10 +139,17 @@ def test_mix(spark):
     rows = [(i, rng.choice(["Wiki", "wiki ", "FORUM", None, "other"]), f"t{i % 900}", rng.randrange(1, 50), "u") for i in range(1000)] + [(5000, "forum", None, 5, "u"), (5001, "forum", "zero", 0, "u")]
     items = spark.createDataFrame(rows, "doc_id bigint, source string, text_key string, size int, uses string")
     targets = spark.createDataFrame([("wiki", 0.5, 1), ("forum", 0.5, 3), ("absent", 0.0, 1)], "source string, target_share double, max_repeats int")
-    mixed = mixing.mix(items, targets, block_rows=20)
+    made = mixing.mix(items, targets, 3000.0, block_rows=20)
+    mixed = made.items
     out = mixed.collect()
     most = {"wiki": 1, "forum": 3}
     assert len({r.text_key for r in out}) == len(out) and all(r.uses <= most[r.source] for r in out)
     shares = {r.source: r.actual_share for r in mixing.report(mixed, targets).collect()}
     assert abs(shares["wiki"] - 0.5) < 0.01 and shares["absent"] == 0
-    assert mixing.mix(items.limit(0), targets).count() == 0
+    assert made.exponent == 1 and abs(sum(r.size * r.uses for r in out) - 3000) < 150
+    warm = mixing.temperature_mix(items, targets, 3000.0, block_rows=20)
+    got = {r.source: r.actual_share for r in mixing.report(warm.items, targets).collect()}
+    assert all(abs(got[k] - w) < 0.02 for k, w in warm.weights.items()) and abs(warm.exponent) < 1e-6
+    assert mixing.mix(items.limit(0), targets).items.count() == 0 and mixing.temperature_mix(items.limit(0), targets).items.count() == 0
+    with pytest.raises(ValueError):
+        mixing.read_targets(spark.range(mixing.MOST_TARGETS + 1).selectExpr("cast(id as string) source", "0.1D target_share", "1 max_repeats"))
