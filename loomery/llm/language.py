@@ -26,6 +26,10 @@ DIMENSIONS = 16
 #: At most so many documents with a label help to train, taken in the order of a hash of their id.
 SAMPLE_DOCUMENTS = 1500
 SAMPLE_SENTENCES = 4
+#: Of a sentence with fewer known n-grams than nearly all held-out ones a language must be so likely.
+SURE = 0.95
+#: At most so many rows of the labelled samples are read.
+SAMPLE_ROWS = 5000
 
 #: Names and three-letter codes of the seven languages, lower case.
 NAMES = {
@@ -57,9 +61,12 @@ _LEAD = re.compile(
     r"^[ \t]*(?:(?:[-*+•>]|\d{1,3}[.)])[ \t]+)*(?:\[[\w .-]{1,30}\][ \t]*)?"
     r"(?:(?:user|assistant|tool|system|human|agent|bot|[QA])[ \t]*:[ \t]*)?(?:\[\w{1,20}\][ \t]*)?(?:[a-z_]+\.[\w.-]+:[ \t]*)?",
 )
-_CODE = re.compile(r"^\s*(?:[{}\[\]$#<|`]|[\w.]+\s*=\s*\S+;?\s*$|\d{4}-\d\d-\d\d|(?:def|import|return|SELECT|INSERT|curl|class)\b)|[{}<>=;]{2}|\w\(\)|;\s*$|\":\s*[\"\d\[{]")
-_SENTENCE = re.compile(r"[^.!?…]*(?:[.!?…]+(?![\s\"'”»)\]]|\Z)[^.!?…]*)*(?:[.!?…]+[\"'”»)\]]*|\Z)")
-_WORD = re.compile(r"[^\W\d_]+")
+#: A line that begins like code, data or a log has no sentences; a sentence with a mark of code is none.
+_CODE = re.compile(r"\s*(?:[{}\[\]$#<|`]|[\w.]+\s*=\s*\S+;?\s*$|\d{4}-\d\d-\d\d|(?:def|import|return|SELECT|INSERT|curl|class)\b)")
+_MARKED = re.compile(r"[{}<>=;()\"]")
+_MARK = re.compile(r"[{}<>=;]{2}|\w\(\)|;\s*$|\":\s*[\"\d\[{]")
+_STOP = re.compile(r"[.!?…]+(?:[\"'”»)\]]+|(?=\s)|\Z)")
+_THREE = re.compile(r"[^\W\d_]+[\W\d_]+[^\W\d_]+[\W\d_]+[^\W\d_]")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -67,16 +74,22 @@ def sentences(text: str) -> list[tuple[int, int]]:
     role, key or list mark before them."""
     if "```" in text:
         text = _FENCE.sub(lambda m: re.sub(r"[^\n]", "\0", m[0]), text)
-    text = _WRAPPED.sub(lambda m: " " * len(m[0]), text)
+    if "\n" in text:
+        text = _WRAPPED.sub(lambda m: " " * len(m[0]), text)
     out, at = [], 0
     for line in text.split("\n"):
         begin = _LEAD.match(line).end()
-        rest = line[begin:]
-        if rest and rest[0] != "\0" and not _CODE.search(rest):
-            for m in _SENTENCE.finditer(rest):
-                if m.end() - m.start() >= 8 and len(_WORD.findall(rest, m.start(), m.end())) >= 3:
-                    lead = len(m[0]) - len(m[0].lstrip())
-                    out.append((at + begin + m.start() + lead, at + begin + m.end()))
+        if begin < len(line) and line[begin] != "\0" and not _CODE.match(line, begin):
+            ends = [m.end() for m in _STOP.finditer(line, begin)]
+            if not ends or ends[-1] < len(line):
+                ends.append(len(line))
+            a, marked = begin, _MARKED.search(line, begin)
+            for b in ends:
+                while a < b and line[a].isspace():
+                    a += 1
+                if b - a >= 8 and _THREE.search(line, a, b) and not (marked and _MARK.search(line[a:b])):
+                    out.append((at + a, at + b))
+                a = b
         at += len(line) + 1
     return out
 
@@ -86,8 +99,13 @@ _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _NOISE = re.compile(r"\([^()]*\d[^()]*\)|\"[^\"]{1,30}\"|\b[A-Z]{2,6}-\d+\b|\b\w*\d[\w.]*\b|\b\w+_\w+\b")
 
 
+_NOISY = re.compile(r"[\d\"_]")
+
+
 def normal(sentence: str) -> str:
-    return f" {' '.join(_LETTERS.findall(_NOISE.sub(' ', sentence).lower()))} "
+    if _NOISY.search(sentence):
+        sentence = _NOISE.sub(" ", sentence)
+    return f" {' '.join(_LETTERS.findall(sentence.lower()))} "
 
 
 def _hashes(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -113,13 +131,25 @@ def _hashes(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 @dataclass
 class LanguageModel:
-    table: np.ndarray  # logits per bucket
+    table: np.ndarray  # logits per bucket and, last, whether the bucket was seen in training
     temperature: float
     threshold: float
+    least_seen: float = 0.0
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """A row for each text; texts of fewer letters than the longest n-gram are padded."""
-        out = np.zeros((len(texts), len(LANGUAGES)), np.float32)
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(probabilities, share of the n-grams that training had) for each text."""
+        out = self.averages(texts)
+        z = out[:, : len(LANGUAGES)] * self.temperature
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True), out[:, -1]
+
+    def averages(self, texts: list[str]) -> np.ndarray:
+        """The mean row of the table over the n-grams of each text."""
+        out = np.zeros((len(texts), self.table.shape[1]), np.float32)
         padded = [t if len(t) >= max(ORDERS) else t.ljust(max(ORDERS)) for t in texts]
         begin = 0
         while begin < len(padded):
@@ -132,9 +162,7 @@ class LanguageModel:
             count = sum(np.diff(np.append(s, len(h))) for h, s in zip(hashes, starts))
             out[begin:end] = total / count[:, None]
             begin = end
-        z = out * self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return out
 
 
 def _plain(text: str) -> str:
@@ -144,72 +172,92 @@ def _plain(text: str) -> str:
 _TWO = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 12, seed: int = 7) -> LanguageModel:
-    """Train on whole sentences; each is also shown without accents and in parts of a few words."""
+def fit(texts: list[str], langs: list[str], weights: list[int] | None = None, epochs: int = 12, seed: int = 7) -> LanguageModel:
+    """Train on whole sentences; each is also shown without accents and in parts of a few words, ``weights`` times.
+
+    Of the different sentences of weight 1 a fifth is held out before any repetition; on these, none of which was seen in
+    any form, the temperature and the two rejection bounds are fitted; afterwards they are learned from as well."""
     rng = np.random.default_rng(seed)
     rows: list[tuple[str, int, bool]] = []
-    for i, (t, lang) in enumerate(zip(texts, langs)):
-        held = i % 5 == 4
+    unique: dict[tuple[str, str], int] = {}
+    for t, lang, w in zip(texts, langs, weights or [1] * len(texts)):
+        unique[normal(t), lang] = unique.get((normal(t), lang), 0) + w
+    alone = dict.fromkeys(plain for (plain, _), w in unique.items() if w == 1)
+    held_out = {plain: i % 5 == 4 for i, plain in enumerate(alone)}
+    for (plain, lang), times in unique.items():
+        held = held_out.get(plain, False)
         y = LANGUAGES.index(lang)
-        plain = normal(t)
         bare = sorted({_plain(plain), plain.translate(_TWO)} - {plain})
         words = plain.split()
         cut = int(rng.integers(0, max(1, len(words) - 4)))
         forms = [plain, f" {' '.join(words[cut : cut + 5])} "] + ([bare[int(rng.integers(0, len(bare)))]] if bare else [])
-        rows += [(f, y, held) for f in forms]
+        rows += [(f, y, held) for f in forms for _ in range(1 if held else min(times, 6))]
     rows = [r for r in rows if len(r[0]) >= max(ORDERS)]
     train, test = [r for r in rows if not r[2]], [r for r in rows if r[2]]
     E = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.1).astype(np.float32)
     V = (rng.standard_normal((DIMENSIONS, len(LANGUAGES))) * 0.3).astype(np.float32)
-    hashes, begins = _hashes([r[0] for r in train])
-    ends = [np.append(s[1:], len(h)) for h, s in zip(hashes, begins)]
-    labels = np.array([r[1] for r in train])
-    weight = (1 / np.maximum(1, np.bincount(labels, minlength=len(LANGUAGES))))[labels]
-    weight = weight / weight.mean()
-    batch, rate = 64, 2.0
-    for epoch in range(epochs):
-        order = rng.permutation(len(train))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            idx = [np.concatenate([h[s[p] : e[p]] for h, s, e in zip(hashes, begins, ends)]) for p in pick]
-            size = np.array([len(x) for x in idx])
-            flat = np.concatenate(idx)
-            owner = np.repeat(np.arange(len(pick)), size)
-            mean = np.add.reduceat(E[flat], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
-            z = mean @ V
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(pick)), labels[pick]] -= 1
-            g = p * (weight[pick] / len(pick))[:, None]
-            step = rate * (1 - epoch / epochs)
-            back = (g @ V.T) / size[:, None]
-            V -= step * mean.T @ g
-            by = np.argsort(flat, kind="stable")
-            bucket = flat[by]
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            E[bucket[first]] -= step * 20 * np.add.reduceat(back[owner[by]], first, axis=0)
-    model = LanguageModel((E @ V).astype(np.float32), 1.0, 0.5)
+
+    def descend(shown: list[tuple[str, int, bool]], epochs: int, rate: float) -> np.ndarray:
+        """Gradient steps in place; which buckets they touched."""
+        hashes, begins = _hashes([r[0] for r in shown])
+        ends = [np.append(s[1:], len(h)) for h, s in zip(hashes, begins)]
+        labels = np.array([r[1] for r in shown])
+        weight = (1 / np.maximum(1, np.bincount(labels, minlength=len(LANGUAGES))))[labels]
+        weight = weight / weight.mean()
+        batch = 64
+        for epoch in range(epochs):
+            order = rng.permutation(len(shown))
+            for at in range(0, len(order), batch):
+                pick = order[at : at + batch]
+                idx = [h[s[p] : e[p]] for p in pick for h, s, e in zip(hashes, begins, ends)]
+                size = np.array([len(x) for x in idx]).reshape(len(pick), -1).sum(axis=1)
+                flat = np.concatenate(idx)
+                owner = np.repeat(np.arange(len(pick)), size)
+                mean = np.add.reduceat(E[flat], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
+                z = mean @ V
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(pick)), labels[pick]] -= 1
+                g = p * (weight[pick] / len(pick))[:, None]
+                step = rate * (1 - epoch / epochs)
+                back = (g @ V.T) / size[:, None]
+                V[:] -= step * mean.T @ g
+                by = np.argsort(flat, kind="stable")
+                bucket = flat[by]
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                E[bucket[first]] -= step * 20 * np.add.reduceat(back[owner[by]], first, axis=0)
+        seen = np.zeros((BUCKETS, 1), np.float32)
+        seen[np.concatenate(hashes)] = 1
+        return seen
+
+    seen = descend(train, epochs, 2.0)
+    model = LanguageModel(np.hstack([(E @ V).astype(np.float32), seen]), 1.0, 0.5)
     if test:
-        truth = np.array([r[1] for r in test])
+        held_texts, truth = [r[0] for r in test], np.array([r[1] for r in test])
         nll = {}
         for t in (0.5, 1, 1.5, 2, 3, 4, 6):
             model.temperature = t
-            p = model.probabilities([r[0] for r in test])
+            p = model.probabilities(held_texts)
             nll[t] = -np.log(np.maximum(p[np.arange(len(test)), truth], 1e-9)).mean()
         model.temperature = min(nll, key=nll.get)
-        p = model.probabilities([r[0] for r in test])
+        p = model.probabilities(held_texts)
         best, right = p.max(axis=1), p.argmax(axis=1) == truth
         for threshold in np.arange(0.4, 0.96, 0.05):  # the least at which what is accepted is right
             model.threshold = float(threshold)
             if right[best >= threshold].mean() >= 0.995:
                 break
+        model.least_seen = float(np.quantile(model.averages(held_texts)[:, -1], 0.002))
+        # the bounds are fitted; now the held-out sentences may teach, too
+        seen = np.maximum(seen, descend(train[: len(test)] + test, 2, 1.0))
+        model.table = np.hstack([(E @ V).astype(np.float32), seen])
     return model
 
 
 def train(samples: DataFrame, documents: DataFrame | None = None, limit: int = SAMPLE_DOCUMENTS) -> LanguageModel:
-    """A model of ``samples`` (lang, sample_text), then one that has also learned from the sentences of at most
-    ``limit`` labelled ``documents`` (doc_id, text, lang) whose label the first model confirms."""
-    rows = samples.where("lang IS NOT NULL AND sample_text IS NOT NULL").orderBy("lang", "sample_text").limit(5000).collect()
+    """A model of ``samples`` (lang, sample_text), of which at most ``SAMPLE_ROWS`` are read, then one that has also learned
+    from the sentences of at most ``limit`` labelled ``documents`` (doc_id, text, lang) whose label the first model
+    confirms. The sentences are chosen where the documents are; only they come to the driver."""
+    rows = samples.where("lang IS NOT NULL AND sample_text IS NOT NULL").orderBy("lang", "sample_text").limit(SAMPLE_ROWS).collect()
     rng = np.random.default_rng(3)
     rows = [rows[i] for i in rng.permutation(len(rows)) if rows[i]["lang"] in LANGUAGES]
     texts, langs = [r["sample_text"] for r in rows], [r["lang"] for r in rows]
@@ -217,108 +265,132 @@ def train(samples: DataFrame, documents: DataFrame | None = None, limit: int = S
     if documents is None:
         return model
     picked = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where(F.col("label").isin(LANGUAGES) & F.col("text").isNotNull())
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = picked.mapInPandas(_confirmed(model), "sentence string, label string, short boolean").groupBy("sentence", "label", "short").agg(F.count(F.lit(1)).alias("n"))
     short: dict[str, Counter] = {}
-    for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect():
-        spans = sentences(r["text"])
-        if not spans:
-            continue
-        p = model.probabilities([normal(r["text"][a:b]) for a, b in spans])
-        total = (p * np.array([b - a for a, b in spans])[:, None]).sum(axis=0)
-        y = LANGUAGES.index(r["label"])
-        if total.argmax() != y or total[y] < 0.7 * total.sum():
-            continue
-        for a, b in spans:  # of what is said again and again the documents it stands in tell the language
-            if b - a <= 60:
-                short.setdefault(r["text"][a:b], Counter())[r["label"]] += 1
-        own = [i for i in rng.permutation(len(spans)) if p[i].argmax() == y]
-        for i in own[:SAMPLE_SENTENCES]:
-            texts.append(r["text"][spans[i][0] : spans[i][1]])
-            langs.append(r["label"])
+    weights = [1] * len(texts)
+    for r in sorted(chosen.collect()):
+        if r["short"]:  # of what is said again and again the documents it stands in tell the language
+            short.setdefault(r["sentence"], Counter())[r["label"]] += r["n"]
+        else:
+            texts, langs, weights = texts + [r["sentence"]], langs + [r["label"]], weights + [1]
     for sentence, count in sorted(short.items()):
         lang, n = count.most_common(1)[0]
         if n >= 3 and n >= 0.6 * count.total():
-            texts += [sentence] * 6
-            langs += [lang] * 6
+            texts, langs, weights = texts + [sentence], langs + [lang], weights + [6]
     order = rng.permutation(len(texts))
-    texts, langs = [texts[i] for i in order], [langs[i] for i in order]
-    return fit(texts, langs, epochs=5)
+    return fit([texts[i] for i in order], [langs[i] for i in order], [weights[i] for i in order], epochs=5)
+
+
+def _confirmed(model: LanguageModel):
+    """Of each document whose label the model confirms ``SAMPLE_SENTENCES`` sentences in its language, and the short ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, text, label in zip(pdf["doc_id"], pdf["text"], pdf["label"]):
+                spans = sentences(text)
+                if not spans:
+                    continue
+                p = model.probabilities([normal(text[a:b]) for a, b in spans])
+                total = (p * np.array([b - a for a, b in spans])[:, None]).sum(axis=0)
+                y = LANGUAGES.index(label)
+                if total.argmax() != y or total[y] < 0.7 * total.sum():
+                    continue
+                out += [(text[a:b], label, True) for a, b in spans if b - a <= 60]
+                own = [i for i in np.random.default_rng(abs(int(key))).permutation(len(spans)) if p[i].argmax() == y]
+                out += [(text[spans[i][0] : spans[i][1]], label, False) for i in own[:SAMPLE_SENTENCES]]
+            yield pd.DataFrame(out, columns=["sentence", "label", "short"])
+
+    return run
 
 
 def stretches(model: LanguageModel, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
-    """For each text its sentences as (start, end, language number, confidence)."""
+    """For each text its sentences as (start, end, language number, confidence). A sentence of which no language is likely
+    enough, or that is unfamiliar and of which none is nearly sure, takes that of the accepted ones beside it. Where there are none, or where the sentences of the text together
+    have too few known n-grams for any of the languages, the number is -1."""
     spans = [sentences(t) for t in texts]
     flat = [normal(t[a:b]) for t, s in zip(texts, spans) for a, b in s]
-    p = model.probabilities(flat) if flat else np.zeros((0, len(LANGUAGES)))
+    p, seen = model.judged(flat)
+    best, sure = (p.argmax(axis=1), p.max(axis=1)) if len(flat) else (np.zeros(0, int), np.zeros(0))
     out, at = [], 0
     for s in spans:
-        own = p[at : at + len(s)]
+        here = slice(at, at + len(s))
+        lang, c = best[here].copy(), sure[here].copy()
+        good = (c >= model.threshold) & ((c >= SURE) | (seen[here] >= model.least_seen))
+        if len(s) and (not good.any() or np.average(seen[here], weights=[b - a for a, b in s]) < model.least_seen):
+            lang[:], c[:] = -1, 0.0
+        elif not good.all():
+            held = np.flatnonzero(good)
+            for i in np.flatnonzero(~good):
+                k = int(np.searchsorted(held, i))
+                lang[i] = max((lang[held[j]] for j in (k - 1, k) if 0 <= j < len(held)), key=lambda x: p[at + i, x])
+                c[i] = p[at + i, lang[i]]
         at += len(s)
-        best, sure = own.argmax(axis=1), own.max(axis=1)
-        accepted = np.flatnonzero(sure >= model.threshold)
-        for i in np.flatnonzero(sure < model.threshold):  # a rejected sentence goes with its neighbours
-            if len(accepted):
-                k = np.searchsorted(accepted, i)
-                near = [accepted[j] for j in (k - 1, k) if 0 <= j < len(accepted)]
-                best[i] = max((best[j] for j in near), key=lambda lang: own[i, lang])
-        out.append([(a, b, int(lang), float(own[i, lang])) for i, ((a, b), lang) in enumerate(zip(s, best))])
+        out.append([(a, b, x, y) for (a, b), x, y in zip(s, lang.tolist(), c.tolist())])
     return out
 
 
 def _whole(model: LanguageModel, text: str) -> tuple[int, float]:
-    """For a text without sentences."""
+    """For a text without sentences, or with none that is accepted; -1 when it is rejected as a whole, too."""
     letters = normal(text)
     if not letters.strip():
         return -1, 0.0
-    p = model.probabilities([letters])[0]
-    return int(p.argmax()), float(p.max())
+    p, seen = model.judged([letters])
+    return (int(p[0].argmax()), float(p[0].max())) if p[0].max() >= model.threshold and seen[0] >= model.least_seen else (-1, 0.0)
 
 
-RESULT = "main string, confidence double, mixed array<string>, segments array<struct<start_pos:int,end_pos:int,lang:string,confidence:double>>"
+ADDED = {"main": "string", "confidence": "double", "mixed": "array<string>", "segments": "array<struct<start_pos:int,end_pos:int,lang:string,confidence:double>>"}
 
 
-def _labelled(model: LanguageModel, text: str):
+def _labelled(model: LanguageModel, text: str, wanted: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for begin in range(0, len(whole), 256):
                 pdf = whole.iloc[begin : begin + 256]
                 texts = [t if isinstance(t, str) else "" for t in pdf[text]]
-                main, sure, mixed, segments = [], [], [], []
-                for t, found in zip(texts, stretches(model, texts)):
-                    size, trust, count = np.zeros(len(LANGUAGES)), np.zeros(len(LANGUAGES)), np.zeros(len(LANGUAGES), int)
-                    merged: list[list] = []
-                    for a, b, lang, c in found:
-                        size[lang] += b - a
-                        trust[lang] += (b - a) * c
-                        count[lang] += 1
-                        if merged and merged[-1][2] == lang:
-                            merged[-1][1], merged[-1][3], merged[-1][4] = b, merged[-1][3] + c * (b - a), merged[-1][4] + b - a
-                        else:
-                            merged.append([a, b, lang, c * (b - a), b - a])
-                    if found:
-                        k = int(size.argmax())
-                        main.append(LANGUAGES[k])
-                        sure.append(float(trust[k] / size[k] * size[k] / size.sum()))
-                    else:
-                        k, c = _whole(model, t)
-                        main.append(LANGUAGES[k] if k >= 0 else None)
-                        sure.append(c)
-                    several = [LANGUAGES[i] for i in np.flatnonzero(count >= 2)]
-                    mixed.append(several if len(several) > 1 else [])
-                    segments.append([{"start_pos": a + 1, "end_pos": b, "lang": LANGUAGES[x], "confidence": s / n} for a, b, x, s, n in merged])
-                yield pdf.assign(main=main, confidence=sure, mixed=mixed, segments=segments)
+                rows = [_summary(model, t, found, "segments" in wanted) for t, found in zip(texts, stretches(model, texts))]
+                yield pdf[[c for c in pdf.columns if c not in wanted]].assign(**{name: [r[name] for r in rows] for name in wanted})
 
     return run
 
 
-def detect(df: DataFrame, text: str, model: LanguageModel) -> DataFrame:
-    """Add to each row ``main`` (the language of most characters, null for a text without letters), its ``confidence``
-    (mean probability times share of the text), ``mixed`` (the languages with two or more whole sentences when there
-    are two or more, else empty) and ``segments`` (stretches of one language with their places, from 1, and confidence).
+def _summary(model: LanguageModel, text: str, found: list[tuple[int, int, int, float]], merged: bool) -> dict:
+    size, trust, count = [0] * len(LANGUAGES), [0.0] * len(LANGUAGES), [0] * len(LANGUAGES)
+    for a, b, lang, c in found:
+        if lang >= 0:
+            size[lang] += b - a
+            trust[lang] += (b - a) * c
+            count[lang] += 1
+    if any(count):
+        k = max(range(len(LANGUAGES)), key=size.__getitem__)
+        out = {"main": LANGUAGES[k], "confidence": trust[k] / sum(size)}
+    else:
+        k, c = _whole(model, text)
+        out = {"main": LANGUAGES[k] if k >= 0 else None, "confidence": c}
+    several = [x for x, n in zip(LANGUAGES, count) if n >= 2]
+    out["mixed"] = several if len(several) > 1 else []
+    if merged:
+        parts: list[list] = []
+        for a, b, lang, c in found:
+            if parts and parts[-1][2] == lang:
+                parts[-1][1:] = [b, lang, parts[-1][3] + c * (b - a), parts[-1][4] + b - a]
+            else:
+                parts.append([a, b, lang, c * (b - a), b - a])
+        out["segments"] = [{"start_pos": a + 1, "end_pos": b, "lang": LANGUAGES[x] if x >= 0 else None, "confidence": s / n} for a, b, x, s, n in parts]
+    return out
+
+
+def detect(df: DataFrame, text: str, model: LanguageModel, segments: bool = True) -> DataFrame:
+    """Add to each row ``main`` (the language of most characters; null for a text without letters and for one of which the
+    model knows neither a sentence nor the whole), its ``confidence`` (mean probability times share of the text), ``mixed``
+    (the languages with two or more whole sentences when there are two or more, else empty) and, if asked for, ``segments``
+    (stretches of one language with their places, from 1, and confidence; a null language is an unknown one).
 
     Null and empty texts have no language, confidence 0 and no segments. Texts are read whole, repeated rows get equal
     results, columns named like the added ones are replaced.
     """
-    added = [part.split()[0] for part in ("main", "confidence", "mixed", "segments")]
-    df = df.select(*[c for c in df.columns if c not in added])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(_labelled(model, text), f"{fields}, {RESULT}")
+    wanted = [c for c in ADDED if segments or c != "segments"]
+    df = df.select(*[c for c in df.columns if c not in wanted or c == text])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in wanted] + [f"{c} {ADDED[c]}" for c in wanted]
+    return df.mapInPandas(_labelled(model, text, wanted), ", ".join(fields))

@@ -9,14 +9,14 @@ from loomery.llm.language import detect, label_language, train
 from loomery.plans.tables import table
 
 
-def _detected(spark: SparkSession, folder: str) -> DataFrame:
+def _detected(spark: SparkSession, folder: str, segments: bool = True) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = train(table(spark, folder, "lang_samples").select("lang", "sample_text"), docs)
-    return detect(docs, "text", model).drop("text")
+    return detect(docs, "text", model, segments).drop("text")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = _detected(spark, folder).select("doc_id", label_language(F.col("lang")).alias("label"), "main", "mixed")
+    found = _detected(spark, folder, segments=False).select("doc_id", label_language(F.col("lang")).alias("label"), "main", "mixed")
     main = F.when(F.col("main").isNull(), None).when(F.col("label").isNull(), "missing").when(F.col("label") != F.col("main"), "wrong")
     cases = F.concat(F.array(F.struct(main.alias("kind"), F.col("main").alias("lang"))), F.transform("mixed", lambda x: F.struct(F.lit("mixed").alias("kind"), x.alias("lang"))))
     return found.select("doc_id", F.inline(cases)).where("kind IS NOT NULL").distinct()

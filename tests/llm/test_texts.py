@@ -14,7 +14,7 @@ SENTENCES = {
 @pytest.fixture(scope="module")
 def model():
     texts = [(s, lang) for lang, all_ in SENTENCES.items() for s in all_ for _ in range(8)]
-    return language.fit([t for t, _ in texts], [lang for _, lang in texts], epochs=12)
+    return language.fit([t for t, _ in texts], [lang for _, lang in texts], epochs=40)
 
 
 def test_sentences():
@@ -31,6 +31,19 @@ def test_languages(spark, model):
     assert [s.lang for s in got[1].segments] == ["en", "de"] and mixed[got[1].segments[1].start_pos - 1 :].startswith(SENTENCES["de"][0])
 
 
+def test_unknown_languages_are_rejected(spark):
+    import random
+
+    rng = random.Random(1)
+    words = {lang: [w for x in all_ for w in x.rstrip(".").split()] for lang, all_ in SENTENCES.items()}
+    texts = [(" ".join(rng.sample(words[lang], 8)), lang) for lang in words for _ in range(60)]
+    model = language.fit([t for t, _ in texts], [lang for _, lang in texts], epochs=8)
+    assert model.least_seen > 0.5
+    rows = [(0, "Zítřek přijde každý čtvrtek žlutý kůň. Příliš žluťoučký kůň úpěl ďábelské ódy."), (1, SENTENCES["en"][0] + " " + SENTENCES["en"][1])]
+    got = {r.id: r for r in language.detect(spark.createDataFrame(rows, "id int, text string"), "text", model).collect()}
+    assert got[0].main is None and got[0].confidence == 0 and got[0].segments[0].lang is None and got[1].main == "en"
+
+
 def test_labels(spark):
     labels = ["en", "English", " de-AT", "fr_FR", "??", "", None, "und", "spa", "Klingon"]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, x string").orderBy("i").select(language.label_language(F.col("x"))).collect()
