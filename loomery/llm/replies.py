@@ -27,6 +27,10 @@ LEAST_WORDS = 4
 #: Words and pairs with fewer occurrences tell nothing.
 SEEN = 5
 RARELY, SELDOM = 0.02, 0.15
+#: A length limit is a length from SPIKE_FROM on that SPIKE_ROWS unfinished replies or more have.
+SPIKE_FROM, SPIKE_ROWS = 60, 20
+#: Replies of fewer characters and words are in the expected language if they can be.
+SHORT = 60
 
 _BLANK = r"[\s\x00-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]"
 #: Replies that say nothing, without punctuation and blanks, lower case.
@@ -35,28 +39,50 @@ FILLERS = [
     "réponse", "respuesta", "risposta", "resposta", "antwoord", "keineantwort", "pasderéponse", "sinrespuesta", "notavailable", "notapplicable", "placeholder", "xxx", "loremipsum",
 ]
 
-_EN = (
-    r"i(?:'m| am)? (?:really |simply |afraid i )?(?:cannot|can't|can not|could not|won't|will not|am not able|am unable|not able|unable|must (?:decline|refuse)|have to (?:pass|decline|refuse)|'d rather not|would rather not|"
-    r"don't have (?:the )?permission|do not have (?:the )?permission|am not (?:allowed|permitted)|not (?:allowed|permitted)|refuse|decline|prefer not|don't feel comfortable)\b(?! say more)"
-    r"|i'd rather not\b|something i must decline|my (?:guidelines|rules|policy|policies|instructions) (?:don't|do not|won't|forbid|prevent|prohibit)|outside what i (?:may|can)|against my (?:rules|guidelines|policy)|can't help (?:you )?with that"
-)
-_DE = (
-    r"(?:kann|darf|möchte|werde|will) ich (?:\w+ ){0,5}nicht\b|ich (?:kann|darf|möchte|werde|will) (?:\w+ ){0,6}(?:nicht|keine?)\b (?:\w+ ){0,4}(?:helfen|beantworten|antworten|sagen|weiterhelfen|geben|äußern|unterstützen|besprechen|teilen|auskunft)"
-    r"|bin ich nicht befugt|ich bin nicht (?:befugt|berechtigt|in der lage)|muss ich (?:leider )?ablehnen|ich muss (?:\w+ ){0,3}ablehnen|meine (?:richtlinien|regeln|vorgaben) (?:erlauben|lassen|verbieten)|(?:gegen|außerhalb) mein"
-)
-_FR = (
-    r"je (?:ne|n') ?(?:peux|puis|suis|souhaite|veux|vais|dois|saurais|ai) (?:\w+ )?pas\b|je n'ai pas le droit|je (?:dois|préfère|préfèrerais) (?:\w+ ){0,2}(?:refuser|décliner|ne pas)|je refuse|je ne saurais|il m'est impossible"
-    r"|mes (?:règles|consignes|directives) (?:ne|m'|inter)|contre mes règles"
-)
-_ES = (
-    r"\bno (?:me )?(?:puedo|podré|debo|quiero|es posible para mí) (?:\w+ ){0,3}(?:ayudar|responder|contestar|dar|decir|compartir|hablar|facilitar|proporcionar|comentar)|no (?:estoy autorizad|me está permitid|me es posible|tengo permiso)"
-    r"|(?:debo|tengo que) (?:rechazar|declinar|negarme)|prefiero no|me niego|mis (?:reglas|normas|directrices|pautas) (?:no|me)|contra mis (?:reglas|normas)"
-)
-_MORE = (
-    r"\bnon (?:posso|sono autorizzat|sono in grado|mi è (?:possibile|permesso))|devo rifiutare|preferisco non|\bnão (?:posso|consigo|estou autorizad|me é (?:possível|permitido))|tenho de recusar|prefiro não"
-    r"|(?:kan|mag|wil) ik (?:\w+ ){0,5}niet\b|ik (?:kan|mag|wil) (?:\w+ ){0,5}niet (?:\w+ ){0,3}(?:helpen|beantwoorden|delen|zeggen)|moet ik (?:helaas )?(?:weigeren|afwijzen)"
-)
-REFUSAL = f"(?iu)\\b(?:{_EN}|{_DE}|{_FR}|{_ES}|{_MORE})"
+_HELP = r"(?:help|assist|answer|respond|reply|provide|share|give|tell|discuss|comment|advise|support|comply|fulfil\w*|offer|disclose|do (?:that|this|so)|assess|talk|go into|speak|engage|continue|process|complete|look into|take on)"
+#: Who says no in each language: words of which one must be there, and how the refusal goes, in lower case.
+_NO = {
+    "en": (
+        ["n't", "not", "unable", "refuse", "decline", "pass on", "outside", "beyond", "against my", " my "],
+        rf"\b(?:i(?:'m| am)?|we) (?:\w+ ){{0,3}}?(?:cannot|can't|can not|could not|couldn't|won't|will not|not able to|unable to|not (?:allowed|permitted|authori[sz]ed) to|not going to|don't want to|do not want to)(?: \w+){{0,3}}? {_HELP}\b"
+        r"|\b(?:must|have to|need to|going to|i(?:'ll| will| shall)?) (?:\w+ )?(?:decline|refuse|pass)\b|\b(?:rather|prefer|choose) not\b|\bi(?:'m| am) (?:not (?:allowed|permitted|able|authori[sz]ed)|unable)\b|\bi (?:don't|do not) (?:have (?:the )?permission|feel comfortable)"
+        rf"|\b(?:outside|beyond|against) (?:of )?(?:what i \w+|my \w+)|\bmy (?:\w+ )?(?:guidelines|rules|policy|policies|instructions) (?:don't|do not|won't|forbid|prevent|prohibit)|^(?:sorry|apologies)\W+(?:\w+ )?(?:can't|cannot|won't)\b|\b(?:can't|cannot) {_HELP}(?: you)? (?:with )?(?:that|this)\b",
+    ),
+    "de": (
+        ["nicht", "kein", "ablehn", "verweiger", "gegen mein", "außerhalb mein", "richtlinien"],
+        r"\b(?:kann|darf|möchte|werde|will) ich (?:\w+,? ){0,5}nicht\b|\bich (?:kann|darf|möchte|werde|will) (?:\w+,? ){0,6}(?:nicht|keine?)\b (?:\w+ ){0,4}(?:helfen|beantworten|antworten|sagen|weiterhelfen|geben|äußern|unterstützen|besprechen|teilen|auskunft)"
+        r"|\b(?:bin ich|ich bin) (?:dazu |leider )?nicht (?:befugt|berechtigt|in der lage)|\bmuss ich (?:\w+ ){0,3}(?:ablehnen|verweigern)|\bich muss (?:\w+ ){0,4}(?:ablehnen|verweigern)|\bmeine (?:richtlinien|regeln|vorgaben) (?:erlauben|lassen|verbieten)|\b(?:gegen|außerhalb) mein",
+    ),
+    "fr": (
+        ["pas", "refuse", "déclin", "saurais", "impossible", "mes règles", "mes consignes", "mes directives"],
+        r"\bje (?:ne |n')(?:peux|puis|suis|souhaite|veux|vais|dois|saurais|ai) (?:\w+ )?pas\b|\bje (?:dois|préfère|préfèrerais) (?:\w+ ){0,2}(?:refuser|décliner|ne pas)|\bje refuse|\bje ne saurais|\bil m'est impossible"
+        r"|\bmes (?:règles|consignes|directives) (?:ne|m'|inter)|\bcontre mes (?:règles|consignes|directives)",
+    ),
+    "es": (
+        ["no ", "rechaz", "declin", "niego", "negarme", "mis "],
+        r"\bno (?:me )?(?:puedo|podré|debo|quiero|es posible para mí) (?:\w+ ){0,3}(?:ayudar\w*|responder\w*|contestar\w*|dar\w*|decir\w*|compartir\w*|hablar|facilitar\w*|proporcionar\w*|comentar\w*)|\bno (?:estoy autorizad|me está permitid|me es posible|tengo permiso)"
+        r"|\b(?:debo|tengo que) (?:rechazar|declinar|negarme)|\bprefiero no\b|\bme niego\b|\bmis (?:reglas|normas|directrices|pautas) (?:no|me)\b|\bcontra mis (?:reglas|normas|directrices|pautas)",
+    ),
+    "it pt nl": (
+        ["non ", "não", "niet", "rifiut", "recusar", "weiger", "afwijz", "afslaan"],
+        r"\bnon (?:posso|sono autorizzat|sono in grado|mi è (?:possibile|permesso))|\b(?:devo|dovrei) rifiutare|\bpreferisco non\b|\bnão (?:posso|consigo|estou autorizad|me é (?:possível|permitido))|\b(?:tenho de|devo) recusar|\bprefiro não\b"
+        r"|\b(?:kan|mag|wil) ik (?:\w+,? ){0,5}niet\b|\bik (?:kan|mag|wil) (?:\w+,? ){0,5}niet (?:\w+ ){0,3}(?:helpen|beantwoorden|delen|zeggen)|\bmoet ik (?:\w+ ){0,2}(?:weigeren|afwijzen|afslaan)",
+    ),
+}
+#: A reply that declines only after so many characters has said something before.
+DECLINES_WITHIN = 300
+
+
+def is_refusal(text: Column) -> Column:
+    """Whether a reply declines to answer near its beginning; one that begins with a yes or no answers."""
+    low = F.regexp_replace(F.lower(text), "’", "'")
+    said = []
+    for words, pattern in _NO.values():
+        hint = reduce(or_, [low.contains(w) for w in words])
+        said.append(F.when(hint, F.regexp_instr(low, F.lit(f"(?U){pattern}"))).otherwise(0))
+    hit = reduce(or_, [at.between(1, DECLINES_WITHIN) for at in said])
+    return F.coalesce(hit & ~low.rlike(r"^(?:no|yes|sí|ja|nein|oui|non)[,.;]"), F.lit(False))
+
 
 #: Names of the languages as a request has them.
 _NAMED = {
@@ -85,9 +111,11 @@ def _stripped(text: Column) -> Column:
 
 
 def is_empty(text: Column) -> Column:
+    """Null, without letters and digits, or a filler. Of a text with more letters than the longest filler nothing is replaced."""
+    few = text.rlike(rf"^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]){{0,{max(map(len, FILLERS))}}}[^\p{{L}}\p{{N}}]*$")
     bare = F.regexp_replace(F.lower(text), rf"(?:{_BLANK}|[\p{{P}}\p{{S}}])+", "")
     slash = F.regexp_replace(F.lower(text), rf"(?:{_BLANK}|[().\[\]<>:*`_-])+", "")
-    return text.isNull() | ((F.length(text) <= 200) & (bare.isin(FILLERS) | slash.isin(FILLERS))) | ~text.rlike(r"[\p{L}\p{N}]")
+    return text.isNull() | F.when(few, bare.isin(FILLERS) | slash.isin(FILLERS) | ~text.rlike(r"[\p{L}\p{N}]")).otherwise(False)
 
 
 def _letters(text: Column) -> Column:
@@ -104,12 +132,13 @@ def is_copy(question: Column, text: Column) -> Column:
 
     def same(a: Column) -> Column:
         most = F.greatest(F.lit(2), F.floor(F.length(q) * 0.18).cast("int"))
-        alike = (F.length(a) <= F.length(q) * 1.15 + 3) & F.levenshtein(F.substring(q, 1, 1000), F.substring(a, 1, 1000), 180).between(0, most)
+        # the bounded distance is faster, but its bound must be a constant
+        distance = F.when(F.length(q) <= 1000, F.levenshtein(q, a, 180)).otherwise(F.levenshtein(q, a))
+        alike = F.length(a).between(F.length(q) * 0.8 - 3, F.length(q) * 1.2 + 3) & distance.between(0, most)
         cut = q.startswith(a) & (F.length(a) >= F.length(q) * 0.5)
         return (F.length(a) > 0) & (alike | cut)
 
-    starts = F.lower(F.substring(F.trim(text), 1, 12)) == F.lower(F.substring(F.trim(question), 1, 12))
-    again = starts & (F.trim(F.replace(F.concat(F.lit(" "), whole, F.lit(" ")), F.concat(F.lit(" "), q), F.lit(""))) == "")
+    again = whole.startswith(q) & (F.trim(F.replace(F.concat(F.lit(" "), whole, F.lit(" ")), F.concat(F.lit(" "), q), F.lit(""))) == "")
     return F.coalesce((F.length(q) > 0) & F.when(near, same(whole) | same(bare) | again).otherwise(again), F.lit(False))
 
 
@@ -140,10 +169,10 @@ def _stops(texts: DataFrame) -> DataFrame:
     unfinished = ~F.col("cut").rlike(_CLOSED) | (F.col("cut") != F.col("text")) | (F.size(F.split("text", "```")) % 2 == 0)
     open_ = checkpoint(texts.withColumn("cut", cut).where(unfinished))
     size = F.length("text")
-    lengths = open_.where(size >= 60).groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    lengths = open_.where(size >= SPIKE_FROM).groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"))
     around = Window.partitionBy(F.floor(F.col("size") / 1000)).orderBy("size").rangeBetween(-6, 6)  # one row for each length
     lengths = lengths.withColumn("usual", (F.sum("n").over(around) - F.col("n")) / F.greatest(F.count("n").over(around) - 1, F.lit(1)))
-    spikes = lengths.where((F.col("n") >= 20) & (F.col("n") >= 4 * F.col("usual"))).select("size", F.lit(True).alias("spike"))
+    spikes = lengths.where((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= 4 * F.col("usual"))).select("size", F.lit(True).alias("spike"))
     # the next different text shows the longer version, if there is any: nothing sorts between but other versions of it
     near = texts.select("text", F.substring("text", 1, PREFIX).alias("head"))
     following = near.withColumn("next", F.lead("text").over(Window.partitionBy("head").orderBy("text")))
@@ -152,7 +181,8 @@ def _stops(texts: DataFrame) -> DataFrame:
     goes_on = rest.rlike(r"^[\p{L}\p{N}]") | (rest.rlike(r"^[ ,]+[\p{L}\p{N}(]") & F.col("next").rlike(_CLOSED))
     shortened = following.where(F.col("next").startswith(F.col("text")) & goes_on & (words >= LEAST_WORDS)).select("text", F.lit(True).alias("shortened"))
 
-    last = _items(F.regexp_extract(F.col("cut"), r"(?s).{0,80}\z", 0))
+    tail = F.regexp_extract(F.col("cut"), r"(?s).{0,80}\z", 0)  # where it has three words, the last two are whole
+    last = _items(F.when(tail.rlike(r"(?s)\s\S+\s+\S"), tail).otherwise(F.col("cut")))
     asked = open_.withColumn("i", last).withColumn("w", F.try_element_at("i", F.lit(-1))["w"])
     prev = F.try_element_at("i", F.lit(-2))
     asked = asked.withColumn("v", F.when(~prev["ends"], prev["w"])).withColumn("size", size)
@@ -181,10 +211,14 @@ def asked_languages(model: LanguageModel, questions: list[str]) -> list[str | No
     return [_LANGUAGE_OF[m[1].lower()] if m else LANGUAGES[int(x.argmax())] if x.max() >= 0.6 else None for m, x in zip(requests, p)]
 
 
+#: What may stand between a repeated question and its answer.
+_LABEL = re.compile(r"\A[\W_]*[^\W\d_][^:?!.\n]{0,23}:\s")
+
+
 def reply_languages(model: LanguageModel, questions: list[str], texts: list[str], expected: list[str | None]) -> list[str | None]:
     """The language of most of each reply without the question in it; None when it can't be told. A reply of a few words
     is in the expected language if it can be at all."""
-    bodies = [re.sub(r"(?i)\bshort answer\s*:", " ", t.replace(q, " ") if q else t) for q, t in zip(questions, texts)]
+    bodies = [_LABEL.sub(" ", t.replace(q, " ").lstrip(), count=1) if q and q in t else t for q, t in zip(questions, texts)]
     spans = [sentences(b) for b in bodies]
     whole = [[(0, len(b))] if not s and len(re.findall(r"[^\W\d_]+", b)) >= 2 else s for b, s in zip(bodies, spans)]
     flat = [normal(b[x:y]) for b, s in zip(bodies, whole) for x, y in s]
@@ -201,7 +235,7 @@ def reply_languages(model: LanguageModel, questions: list[str], texts: list[str]
         if not real:
             out.append(LANGUAGES[int(own[0].argmax())] if own[0].max() >= 0.9 else None)
             continue
-        if len(body) < 60 and wanted and own[0][LANGUAGES.index(wanted)] > 0.002 and len(re.findall(r"[^\W\d_]+", body)) < FEW_WORDS:
+        if len(body) < SHORT and wanted and own[0][LANGUAGES.index(wanted)] > (0.002 if len(re.findall(r"[^\W\d_]+", body)) < FEW_WORDS else 0.05):
             out.append(wanted)
             continue
         sure = own.max(axis=1) >= model.threshold
@@ -236,11 +270,8 @@ def defects(pairs: DataFrame, keys: list[str], question: str, text: str, model:
     key = F.struct(*keys)
     rows = rows.withColumn("key", key).withColumn("text", _stripped(F.col("raw")))
     plain = F.col("text")
-    # a refusal: of what is said, all but courtesies is one
-    said = F.length(plain)
-    refuses = (said <= 300) & plain.rlike(REFUSAL) & ~F.substring(plain, 1, 60).rlike(r"(?iu)^(?:no|yes|sí|ja|nein|oui|non)[,.;]")
-    first = F.when(is_empty(F.col("raw")), "empty").when(is_copy(F.col("question"), plain), "copy").when(F.coalesce(refuses, F.lit(False)), "refusal")
-    rows = checkpoint(rows.withColumn("first", first).drop("raw"))
+    first = F.when(is_empty(F.col("raw")), "empty").when(is_copy(F.col("question"), plain), "copy").when(is_refusal(plain), "refusal")
+    rows = checkpoint(checkpoint(rows).withColumn("first", first).drop("raw"))
     stops = _stops(rows.where("first IS NULL").groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct(F.xxhash64("question")).alias("said")))
     spoken = rows.where("first IS NULL AND question <> ''").select("key", "question", "text")
     other = _languages_of(spoken, model)
@@ -257,7 +288,7 @@ def _languages_of(spoken: DataFrame, model: LanguageModel) -> DataFrame:
     # the key goes through Python as JSON text
     flat = spoken.select(F.to_json("key").alias("key"), "question", "text").mapInPandas(_languages(model), "key string, text string, asked string, spoken string")
     flat = checkpoint(flat.where("asked IS NOT NULL"))
-    short = flat.where(F.length("text") <= 60).groupBy("text", "asked").count()
+    short = flat.where(F.length("text") <= SHORT).groupBy("text", "asked").count()
     usual = short.groupBy("text").agg(F.max_by("asked", "count").alias("usual"), F.max("count").alias("most"), F.sum("count").alias("all"))
     usual = usual.where((F.col("all") >= SEEN) & (F.col("most") >= 0.6 * F.col("all"))).select("text", "usual")
     few = F.size(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))) < FEW_WORDS
