@@ -73,15 +73,12 @@ _NO = {
 DECLINES_WITHIN = 300
 
 
-def is_refusal(text: Column) -> Column:
-    """Whether a reply declines to answer near its beginning; one that begins with a yes or no answers."""
-    low = F.regexp_replace(F.lower(text), "’", "'")
-    said = []
-    for words, pattern in _NO.values():
-        hint = reduce(or_, [low.contains(w) for w in words])
-        said.append(F.when(hint, F.regexp_instr(low, F.lit(f"(?U){pattern}"))).otherwise(0))
-    hit = reduce(or_, [at.between(1, DECLINES_WITHIN) for at in said])
-    return F.coalesce(hit & ~low.rlike(r"^(?:no|yes|sí|ja|nein|oui|non)[,.;]"), F.lit(False))
+def is_refusal() -> Column:
+    """Whether a reply declines to answer near its beginning; one that begins with a yes or no answers. For rows of
+    ``prepared``."""
+    low = F.col("__low")
+    said = [F.get("__hints", i) & F.regexp_instr(low, F.lit(f"(?U){pattern}")).between(1, DECLINES_WITHIN) for i, (_, pattern) in enumerate(_NO.values())]
+    return F.coalesce(reduce(or_, said) & ~low.rlike(r"^(?:no|yes|sí|ja|nein|oui|non)[,.;]"), F.lit(False))
 
 
 #: Names of the languages as a request has them.
@@ -122,13 +119,18 @@ def _letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def is_copy(question: Column, text: Column) -> Column:
+def prepared(rows: DataFrame) -> DataFrame:
+    """Add the forms of ``question`` and ``text`` that ``is_copy`` and ``is_refusal`` look at: columns of their own, for an
+    expression that stands in several branches would be computed in each."""
+    lead = F.regexp_replace("text", r"^[^:?!.]{1,24}:\s*", "")
+    rows = rows.withColumn("__low", F.translate(F.lower("text"), "’", "'"))
+    return rows.withColumns({"__q": _letters(F.col("question")), "__whole": _letters(F.col("text")), "__bare": _letters(lead), "__hints": F.array(*[reduce(or_, [F.col("__low").contains(w) for w in words]) for words, _ in _NO.values()])})
+
+
+def is_copy() -> Column:
     """Only the question again, once or several times, with few changes: at most a tenth of its characters, or its end
-    left out."""
-    lead = F.regexp_replace(text, r"^[^:?!.]{1,24}:\s*", "")
-    # no text much longer than the question can be a copy, but for repetitions of it
-    near = F.length(text) <= F.length(question) * 1.4 + 40
-    q, whole, bare = _letters(question), _letters(text), _letters(lead)
+    left out. For rows of ``prepared``."""
+    q, whole, bare = F.col("__q"), F.col("__whole"), F.col("__bare")
 
     def same(a: Column) -> Column:
         most = F.greatest(F.lit(2), F.floor(F.length(q) * 0.18).cast("int"))
@@ -139,7 +141,7 @@ def is_copy(question: Column, text: Column) -> Column:
         return (F.length(a) > 0) & (alike | cut)
 
     again = whole.startswith(q) & (F.trim(F.replace(F.concat(F.lit(" "), whole, F.lit(" ")), F.concat(F.lit(" "), q), F.lit(""))) == "")
-    return F.coalesce((F.length(q) > 0) & F.when(near, same(whole) | same(bare) | again).otherwise(again), F.lit(False))
+    return F.coalesce((F.length(q) > 0) & (same(whole) | ((bare != whole) & same(bare)) | again), F.lit(False))
 
 
 def _items(text: Column) -> Column:
@@ -269,9 +271,9 @@ def defects(pairs: DataFrame, keys: list[str], question: str, text: str, model:
     rows = pairs.select(*keys, F.coalesce(F.col(question), F.lit("")).alias("question"), F.col(text).alias("raw")).distinct()
     key = F.struct(*keys)
     rows = rows.withColumn("key", key).withColumn("text", _stripped(F.col("raw")))
-    plain = F.col("text")
-    first = F.when(is_empty(F.col("raw")), "empty").when(is_copy(F.col("question"), plain), "copy").when(is_refusal(plain), "refusal")
-    rows = checkpoint(checkpoint(rows).withColumn("first", first).drop("raw"))
+    first = F.when(is_empty(F.col("raw")), "empty").when(is_copy(), "copy").when(is_refusal(), "refusal")
+    rows = prepared(checkpoint(rows)).withColumn("first", first).select("key", *[k for k in keys], "question", "text", "first")
+    rows = checkpoint(rows)
     stops = _stops(rows.where("first IS NULL").groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct(F.xxhash64("question")).alias("said")))
     spoken = rows.where("first IS NULL AND question <> ''").select("key", "question", "text")
     other = _languages_of(spoken, model)
