@@ -1,4 +1,4 @@
-"""Personal information in free text: a skip-chain conditional random field over the words around candidates.
+"""Personal information in free text: a skip-chain conditional random field over the words of a text.
 
 Each word has a label: none, email, phone, identity number, address or name. Neighbouring words share a potential, and so
 do the occurrences of one word in a document, however far apart: the label that one mention gets from its context reaches
@@ -20,12 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm import pii_training
+from loomery.llm.language import sentences
 
 LABELS = "OEPIAN"
 TYPES = {"E": "email", "P": "phone", "I": "id_number", "A": "address", "N": "name"}
 L = len(LABELS)
 WINDOW = 3
 ROUNDS = 8
+#: How much ordinary text is read for training.
+BACKGROUND_TEXTS, BACKGROUND_SENTENCES = 1500, 3
+#: A detail left in a text is worse than a word too many taken out: marginals are weighed so against those of no detail.
+LEAN = np.array([1.0, 2.0, 2.0, 4.0, 2.0, 8.0])
 
 _KIND_WORDS = "street st road rd avenue ave lane ln drive court close row way place square boulevard terrace rue chemin quai calle avenida plaza paseo via viale piazza rua travessa allee am"
 _KIND_ENDS = r"\w{2,}(?:straße|strasse|str|weg|allee|gasse|platz|ufer|damm|straat|laan)"
@@ -39,29 +44,6 @@ _DOT = r"(?:\.|\s?[(\[]dot[)\]]\s?)"
 EMAIL = rf"[\w.+\-]*\w(?:{_AT}[^\W_][\w\-]*(?:{_DOT}[^\W_][\w\-]*)*{_DOT}[^\W\d_]{{2,}}| at [^\W_][\w\-]*(?: dot [^\W_][\w\-]*)* dot [^\W\d_]{{2,}})"
 #: A run of numbers as phones and identity numbers have it.
 NUMBER = r"(?:\+|\((?=\d{2,4}\))|\b[A-Z]{1,3}|\b[A-Z]{2} (?=\d\d \d\d \d\d [A-Z]\b))?\d+(?:[ .\-/()]{1,2}\d+)*(?:[- ]?[A-Z]\b)?"
-#: What makes a text a candidate: as Java and Python read it alike.
-LONG_NUMBER = r"\d{8,}|\d[ .\-/()]{1,2}\d[\d .\-/()]{4,}\d|[A-Z]{1,3}\d{6,}|\+\d"
-
-
-def _trie(words: list[str]) -> str:
-    """A regex for any of the words that reads each letter once."""
-    heads: dict[str, list[str]] = {}
-    for w in sorted(set(words)):
-        heads.setdefault(w[:1], []).append(w[1:])
-    parts = [re.escape(h) + _trie(rest) for h, rest in heads.items() if h]
-    whole = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
-    return f"(?:{whole})?" if "" in heads and whole else whole
-
-
-def trigger(given: list[str]) -> str:
-    """The regex for candidates, for Java and for ``_python_pattern``."""
-    kinds = _trie([w for w in _KIND_WORDS.split() if w != "am"])
-    starts = [g.lower() + chr(1) for g in given] + [t + chr(2) for t in _TITLES.split() if len(t) > 1] + [w + chr(3) for w in "rue calle plaza via rua avenida am".split()]
-    starts = _trie(starts).replace(chr(1), r"\b").replace(chr(2), r"\b\.? \p{L}").replace(chr(3), r" \p{L}")
-    words = _trie(["name is", "heiße", "m'appelle", "llamo", "contact"])
-    ends = _trie("straße strasse str weg allee gasse platz ufer damm straat laan".split())
-    return rf"@|[(\[]at[)\]]| at \S+ dot |{LONG_NUMBER}|(?iu:\b(?:{starts}|{words})|\d\w? \p{{L}}+ {kinds}\b|{ends}\.? \d)|\b\p{{Lu}}\. \p{{Lu}}\p{{Ll}}"
-
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\n|[^\w\s]|_")
 _EMAIL, _NUMBER = re.compile(EMAIL), re.compile(NUMBER)
@@ -119,7 +101,7 @@ SIZES = ("words", "shapes", "lex", "ends")
 
 @dataclass
 class Batch:
-    """The words of many texts one after the other; ``seq`` numbers the window that a word stands in."""
+    """The words of many texts one after the other; ``seq`` numbers the text, and so the chain, that a word stands in."""
 
     text: np.ndarray
     start: np.ndarray
@@ -132,56 +114,26 @@ class Batch:
     skip_b: np.ndarray
 
 
-def _windows(text: str, cue: re.Pattern, reach: int = 60) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for m in cue.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    if out and (len(out) > 1 or out[0] != [0, len(text)]):  # other mentions of capitalised words beside the candidates
-        inside = " ".join(text[a:b] for a, b in out)
-        for w in {w for w in re.findall(r"\b[^\W\d_][\w’'-]{3,}", inside) if w[0].isupper()}:
-            if text.count(w) > inside.count(w):
-                out += [[max(0, m.start() - reach), min(len(text), m.end() + reach)] for m in re.finditer(rf"\b{re.escape(w)}\b", text)]
-        out.sort()
-    merged: list[tuple[int, int]] = []
-    for a, b in out:
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
-
-
-def read(texts: list[str], encoder: Encoder, cue: re.Pattern | None) -> Batch:
+def read(texts: list[str], encoder: Encoder) -> Batch:
     of, start, end, seq, words, run = [], [], [], [], [], []
-    n = 0
     for i, text in enumerate(texts):
-        for a, b in [(0, len(text))] if cue is None else _windows(text, cue):
-            runs = [(m.start(), m.end(), 2) for m in _EMAIL.finditer(text, a, b)] if "@" in text or "at" in text or "AT" in text else []
-            emails = len(runs)
-            for m in _NUMBER.finditer(text, a, b):
-                if m.end() - m.start() >= 3 and not any(x < m.end() and m.start() < y for x, y, _ in runs[:emails]):
-                    runs.append((m.start(), m.end(), encoder.run(m[0])))
-            runs.sort()
-            r = 0
-            for m in _TOKEN.finditer(text, a, b):
-                s = m.start()
-                while r < len(runs) and runs[r][1] <= s:
-                    r += 1
-                of.append(i)
-                start.append(s)
-                end.append(m.end())
-                seq.append(n)
-                words.append(m[0])
-                run.append(runs[r][2] if r < len(runs) and runs[r][0] <= s else 0)
-            n += 1
+        runs = [(m.start(), m.end(), 2) for m in _EMAIL.finditer(text)] if "@" in text or "at" in text or "AT" in text else []
+        emails = len(runs)
+        for m in _NUMBER.finditer(text):
+            if m.end() - m.start() >= 3 and not any(x < m.end() and m.start() < y for x, y, _ in runs[:emails]):
+                runs.append((m.start(), m.end(), encoder.run(m[0])))
+        runs.sort()
+        r = 0
+        for m in _TOKEN.finditer(text):
+            s = m.start()
+            while r < len(runs) and runs[r][1] <= s:
+                r += 1
+            of.append(i)
+            start.append(s)
+            end.append(m.end())
+            seq.append(i)
+            words.append(m[0])
+            run.append(runs[r][2] if r < len(runs) and runs[r][0] <= s else 0)
     word, unique = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, int), [])
     of_a = np.array(of, np.int64)
     # repeated words of a document: each occurrence is linked to the next
@@ -252,12 +204,15 @@ class Field:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(given: list[str] | None = None, count: int = 5000, epochs: int = 10, seed: int = 11) -> Field:
-    """Pseudo-likelihood: every word's label given its features, its neighbours' labels and those of its repetitions."""
+def train(given: list[str] | None = None, count: int = 5000, epochs: int = 10, seed: int = 11, background: list[str] | None = None) -> Field:
+    """Pseudo-likelihood: every word's label given its features, its neighbours' labels and those of its repetitions.
+
+    The sentences with details are those of ``pii_training``; between them stand sentences of ``background``, in which what
+    is ordinary in the texts to be read is learned. They are taken to have no details."""
     given = given or pii_training.GIVEN
-    docs = pii_training.documents(count, seed)
+    docs = pii_training.documents(count, seed, background)
     encoder = Encoder(given)
-    b = read([t for t, _ in docs], encoder, None)
+    b = read([t for t, _ in docs], encoder)
     n = len(b.word)
     y = np.zeros(n, np.int64)
     first = np.searchsorted(b.text, np.arange(len(docs) + 1))
@@ -326,7 +281,7 @@ def train(given: list[str] | None = None, count: int = 5000, epochs: int = 10, s
             step("chain", field.chain, (y[t[before] - 1],), p[before], rate)
             step("chain2", field.chain.T, (y[t[after] + 1],), p[after], rate)
             step("skip", field.skip, (y[other],), p[far], rate)
-            step("bias", field.bias, (np.zeros(len(t), int),) if False else (slice(None),), p.sum(axis=0), rate)
+            step("bias", field.bias, (slice(None),), p.sum(axis=0), rate)
     # a rare word is unknown from now on
     for j, table in ((0, encoder.words), (3, encoder.ends)):
         kept = set(codes[:, j].tolist())
@@ -336,10 +291,26 @@ def train(given: list[str] | None = None, count: int = 5000, epochs: int = 10, s
     return field
 
 
+def background(texts: DataFrame, text: str, key: str, limit: int = BACKGROUND_TEXTS) -> list[str]:
+    """Sentences of ordinary text: at most ``BACKGROUND_SENTENCES`` of each of at most ``limit`` texts, in the order of a
+    hash of the key. Those with an @ or a digit are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kept = []
+            for t in pdf["t"]:
+                plain = [t[a:b] for a, b in sentences(t) if not re.search(r"[@\d]", t[a:b])]
+                kept += plain[:: max(1, len(plain) // BACKGROUND_SENTENCES)][:BACKGROUND_SENTENCES]
+            yield pd.DataFrame({"sentence": kept})
+
+    picked = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(key).alias("h")).orderBy("h", "t").limit(limit)
+    return sorted({r["sentence"] for r in picked.select("t").mapInPandas(run, "sentence string").collect()})
+
+
 _TITLE = re.compile(rf"(?:(?:{'|'.join(t for t in _TITLES.split() if len(t) > 1)})\.?\s+)+(?=[^\W\d_]{{2,}}|[^\W\d_]\.)", re.I)
 
 
-def checked(text: str, a: int, b: int, kind: str, sure: float, given: set[str]) -> tuple[int, int] | None:
+def checked(text: str, a: int, b: int, kind: str, sure: float, given: set[str], ordinary: dict[str, int]) -> tuple[int, int] | None:
     """The span without what doesn't belong to it, or None when it has not the form of its type."""
     s = text[a:b]
     if kind == "E":
@@ -361,23 +332,27 @@ def checked(text: str, a: int, b: int, kind: str, sure: float, given: set[str])
             a += m.end()
         words = re.findall(r"[^\W\d_]+", text[a:b])
         before = re.search(r"([^\W\d_]+) $", text[max(0, a - 20) : a])
-        if before and before[1].lower() in given and before[1][0].isupper():
+        if before and len(before[1]) > 1 and before[1][0].isupper() and (before[1].lower() in given or before[1].lower() not in ordinary and before[1].lower() not in _TITLES.split()):
             a -= len(before[1]) + 1
             words.append(before[1])
-        if len(words) > 6 or not (any(w.lower() in given for w in words) or (len(words) > 1 or sure > 0.9) and all(w[0].isupper() or w in _PARTS for w in words)):
+        capital = all(w[0].isupper() or w in _PARTS for w in words)
+        listed = any(w.lower() in given for w in words)
+        if any(c.isdigit() for c in text[a:b]) or not (listed or (len(words) > 1 and (capital or sure > 0.85)) or (capital and sure > 0.8)):
             return None
         return (a, b) if b - a >= 2 else None
+    number = re.search(r"(?<![\w.,/-])\d{1,4}(?: ?[a-zA-Z])?,? \Z", text[max(0, a - 9) : a])
+    if number and not text[a].isdigit():  # the house number before the street
+        a = max(0, a - 9) + number.start()
     words = re.findall(r"[^\W\d_]{2,}", text[a:b])
     return (a, b) if len(words) >= 2 and any(c.isdigit() for c in text[a:b]) else None
 
 
-def find(field: Field, texts: list[str], cue: re.Pattern | None = None) -> list[list[tuple[int, int, str, float]]]:
-    """For each text its personal details in order: (start, end, label, probability). With ``cue`` only the surroundings of
-    its matches are read."""
-    b = read(texts, field.encoder, cue)
+def find(field: Field, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+    """For each text its personal details in order: (start, end, label, probability)."""
+    b = read(texts, field.encoder)
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     p = field.marginals(b)
-    label = p.argmax(axis=1) if len(p) else np.zeros(0, int)
+    label = (p * LEAN).argmax(axis=1) if len(p) else np.zeros(0, int)
     given = {w for w, k in field.encoder.lexicon.items() if k == 1}
     hit = np.flatnonzero(label)
     begin = None
@@ -394,17 +369,13 @@ def find(field: Field, texts: list[str], cue: re.Pattern | None = None) -> list[
             last = out[i].pop()
             span = (last[0], span[1])
         sure = float(p[begin : t + 1, label[t]].mean())
-        good = checked(texts[i], *span, kind, sure, given)
+        good = checked(texts[i], *span, kind, sure, given, field.encoder.words)
         if good and not (out[i] and out[i][-1][:3] == (*good, kind)):
             out[i].append((*good, kind, sure))
         begin = None
     return out
 
 
-def _python_pattern(pattern: str) -> re.Pattern:
-    return re.compile(pattern.replace(r"\p{Lu}\p{Ll}", r"[A-ZÀ-Þ][a-zß-ÿ]").replace(r"\p{Lu}", "[A-ZÀ-Þ]").replace(r"\p{L}", r"[^\W\d_]").replace("(?iu:", "(?i:"))
-
-
 FOUND = "array<struct<pii_type:string,start_pos:int,end_pos:int,confidence:double>>"
 
 

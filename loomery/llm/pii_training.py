@@ -6,53 +6,75 @@ import re
 
 import numpy as np
 
-#: Given names that mark a candidate; a parameter of the model.
+#: Given names that mark a candidate, common ones of several countries; a parameter of the model.
 GIVEN = (
-    "Anna Jonas Maren Zofia Stefan Tarek Priya Pavel Luis Hugo Clara Henrik Leila Celeste Judith Elena Felix Mirela Erik Arjun Lucia Greta Camille Ivo Nadia "
-    "Freya Malik Sven Milan Helga Marta Paolo Simone Kofi Teresa Daria Bruno Diego Yusuf Beatriz Amara Tomas Ravi Omar Noor Linnea Anton Ingrid Rosa Owen "
-    "James Mary John Linda Robert Susan Michael Karen David Sarah Thomas Laura Peter Emma Paul Julia Daniel Sophie Martin Claire Andreas Katrin Wolfgang "
-    "Jürgen Monika Pierre Marie Jean Isabelle Carlos Maria José Carmen Miguel Ana Giulia Marco Francesca Luca João Inês Pieter Sanne Ahmed Fatima Wei Mei "
-    "Hiroshi Yuki Olga Dmitri Ivan Katarzyna Piotr Ewa Björn Astrid Lars Nikolai Samira Hassan Aisha Kwame Chidi Lena Oskar"
+    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Matthew Nancy Anthony Betty Mark Sandra "
+    "Donald Ashley Steven Kimberly Andrew Emily Kenneth Michelle Joshua Carol Kevin Amanda Brian Melissa George Deborah Edward Stephanie Ronald Rebecca Timothy Sharon Jason Laura Jeffrey Cynthia Ryan "
+    "Peter Sabine Michaela Thorsten Uwe Petra Andreas Katrin Wolfgang Jürgen Monika Dieter Heike Matthias Birgit Markus Claudia Frank Ulrike Pierre Marie Jean Isabelle Philippe Nathalie Laurent Sandrine "
+    "Nicolas Valérie Olivier Sylvie Thierry Aurélie Carlos Maria José Carmen Miguel Isabel Javier Pilar Francisco Dolores Alejandro Raquel Giulia Marco Francesca Luca Alessandro Chiara João Inês Pieter "
+    "Sanne Ahmed Fatima Wei Mei Hiroshi Yuki Olga Dmitri Ivan Katarzyna Piotr Ewa Björn Astrid Lars Nikolai Samira Hassan Aisha Kwame Chidi Lena Oskar"
 ).split()
-_STEM = "Ber Kar Mor Tol Wen Zel Gri Dal Fal Hov Ill Las Mas Nor Orm Pres Ras Sand Stel Tes Vak Bran Col Lind Ol Cas Schm Walt Hart Frei Good Black Ander Peter Kowal Ross Mull Fern Gonz Sil".split()
-_END = "inski eira mann quist sen ström dren esti ano ardo ov kov bury ley wick holt hagen ier oux ati oven er son ez ham stein".split()
-_TOWN = "Brackenford Villaolmo Talstadt Silverbrook Nordhafen Oldenmere Pinewick Marrow_Bay Kestrel_Falls Valmont-sur-Lise Springfield Ashton Greenville Neustadt Altdorf Saint-Martin Bellerive Villanueva Monteverde Riverton Lake_Forest".split()
-_STREET = "Copper Mason Mill Orchard Juniper Falcon Willow Quarry Harrow Lantern Thistle Bramble Saddle Alder Oak Maple Church Station Park King Queen Cedar Elm".split()
-_KIND = "Street St. St Road Rd Avenue Ave Lane Drive Court Close Row Way Place".split()
-_GERMAN = "Lindenweg Hopfenweg Rosenallee Ahornstraße Mühlgasse Kirchplatz Brunnenstr. Hauptstraße Bahnhofstraße Schulweg Gartenstr. Marktplatz".split()
-_DOMAIN = "mail.example example.com example.org example.net post.example kontor.example corp.test eu.corp.test office.invalid lumen-desk.example firma.test".split()
+_SURNAME = (
+    "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson Martin Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Hill Green Adams Baker Nelson "
+    "Carter Mitchell Turner Phillips Campbell Parker Evans Edwards Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Neumann Zimmermann Krüger Hofmann "
+    "Dubois Bernard Durand Leroy Moreau Simon Laurent Lefebvre Roux Fournier Girard García Fernández González Rodríguez López Martínez Sánchez Pérez Gómez Ruiz Rossi Russo Ferrari Esposito Bianchi Romano "
+    "Nowak Wiśniewska Johansson Andersson Nilsson Hansen Larsen Jansen Bakker Visser Tanaka Sato Nguyen Khan Okafor Mensah Haddad Ivanova Petrov"
+).split()
+_ONSET = "b c d f g h j k l m n p r s t v w y z br ch cr dr fl fr gr kl kr pr sh st th tr sch ph qu bl gl".split()
+_VOWEL = "a e i o u a e i o a e ie ei ia io ea y ö ü é á í au ou".split()
+_CODA = "n r s l t m k d n r s l ck ng nd rt st rs ns ld tz x ff v z rn lm gh th sk".split()
+_TOWN = "Ashburn Dunmore Northvale Westbridge Carlow Milford Easton Harwick Kronberg Seefeld Rothenau Waldkirch Bergheim Saint-Denis Montclair Beaulieu Aubervilliers Valdoro Puerto_Claro Santa_Rita Castelnuevo Fiorenza Port_Hale New_Haven Old_Forge".split()
+_STREET = "Main Elm Oakwood Birch Hazel Victoria Albert Windsor Abbey Castle Garden River Highland Sunset Meadow Forest Spring Prospect Chestnut Walnut Lakeview Bridge Union Franklin Jefferson".split()
+_KIND = "Street St. St Road Rd Avenue Ave Lane Drive Court Close Row Way Place Square Terrace Boulevard".split()
+_GERMAN = "Goethestraße Schillerstr. Bergstraße Waldweg Wiesenweg Birkenallee Kastanienallee Dorfplatz Rathausplatz Lange_Gasse Uferstraße Mozartstr. Parkallee Feldweg".split()
+_DOMAIN = "posteo.test inbox.invalid webpost.test northmail.invalid uni-west.test shop.acme.test cloudbox.localhost briefe.invalid correo.test courrier.invalid team.widgets.test".split()
 
 NAMED = [
-    "My name is {N} and I still wait for a reply.", "Questions go to {N}.", "cc {N}; {N} already approved it.", "According to {N}, {f}", "{N} says {f}", "{N} and {N} noticed that {f}",
-    "Me llamo {N} y mi teléfono es {P}.", "Ich heiße {N}, meine Nummer ist {P}.", "Je m'appelle {N}, mon adresse : {A}.", "Emergency contact: {N}, {P}.", "Contact person is now {N} ({P}).",
-    "Spoke with {T} {N} about the contract, mail {E}.", "{T} {N} wohnt jetzt hier: {A}.", "User's sister {N} may pick up the order with ID {I}.", "Passport {I} was shown at the desk by {N}.",
-    "Reach {N} at {E} or {P}.", "{N} asked to delete everything stored under {E}", "Note from {N} <{E}>: {f}", "New hire: {N}, {A}, {P}, {I}", "ask for {N} when you get there",
-    "Thanks,\n{N}", "Regards,\n{N}\n{A}\nT {P}", "-- \n{N} | {E}", "{N}\n{P}", '{{"contact": "{N}", "mail": "{E}", "tel": "{P}"}}', '{{"ship_to": "{A}", "holder": "{N}"}}', "Mit freundlichen Grüßen\n{N}",
-    "Bitte {N} anrufen: {P}.", "Merci de contacter {N}.", "Pregunte por {N}.", "The patient {N} was seen by {T} {N}.", "{T} {N} called.", "Signed by {N}.",
+    "Kind regards,\n{N}", "Many thanks,\n{N}", "Kind regards,\n{N}\n{A}\nMobile {P}", "my sister {N} comes to fetch it", "Lena's cousin {N} is here", "painted by {N}", "sent by {N}.", "sent by {N} on Monday. {f}", "The form was checked by {N}.", "Did {N} reply?", "{N} called twice. {f}", "for {N}", "to {N}: {f}",
+    "{N} and {N} think that {f}", "thanks to {N}, {f}", "{N}; {N} is informed", "{N}, {N} and {N} were there", "{N} told us that {f}", "{N} wants to cancel the booking under {E}", "Participants: {N}, {N}", "Ich bin {N}, meine Handynummer lautet {P}.", "Soy {N}.", "Merci, {N}", "Frau {N} und Herr {N} kommen.", "wait for {N} at the door", "call {N} at once",
+    "Entry: {N}, {A}, {P}, {I}.", "{N}; {N} and {N} agreed", "we asked {N} for the key", "My friend {N} will come along.", "the wife of {N} called, {f}", "please greet {N} from me", "{N} has moved to {A}.", "copy to {N}", "{N} is ill today, so {f}", "hand it to {N} or to {N}", "my boss {N} and I agree", "Mein Name: {N}", "je suis {N}, {f}", "me llaman {N}", "Kunde {N} wartet.",
+    "Hello, this is {N} writing again.", "{N} will be our guest on Friday.", "I talked to {N} yesterday, and {f}", "Could someone pass this on to {N}, please?", "{N} and {N} have both signed.", "As {N} put it, {f}",
+    "the caller was {N} and the callback number is {P}", "Soy {N}, mi móvil: {P}.", "Hier spricht {N}, erreichbar unter {P}.", "Ici {N}, j'habite {A}.", "In an emergency ring {N} under {P}.", "The new owner of the account: {N} ({P})",
+    "{T} {N} has a mailbox at {E} now", "Der Brief an {T} {N}, {A}, kam zurück.", "her brother {N} holds the card {I}", "{N} presented the passport {I}", "{N} can be found at {E} and also at {P}",
+    "delete the whole profile of {N} ({E})", "From: {N} <{E}>\n{f}", "Person: {N}; home: {A}; mobile: {P}; number: {I}", "is {N} still with you?", "Cheers,\n{N}", "Best wishes\n{N}\n{A}\nPhone: {P}", "Viele Grüße\n{N}",
+    "Cordialement,\n{N}", "Un saludo,\n{N}", "{N} / {E} / {P}", "{N}\n{E}", '{{"name": "{N}", "email": "{E}", "phone": "{P}"}}', '{{"customer": "{N}", "address": "{A}"}}', "Fragen Sie doch {N}.", "Il faut prévenir {N} demain.", "Hay que avisar a {N}.",
+    "{T} {N} recommended this to {T} {N}.", "{T} {N} wrote back.", "Author: {N}", "assigned to {N} since Monday", "it was {N}'s idea", "{N}, {A}", "{N} {P}", "{N}: {f}", "customer {N} complained", "User {N} wants a refund.", "{N} (born in May) lives at {A}.",
 ]
 OTHER = [
-    "Please send the invoice to {E}, thanks.", "Write to {E} first.", "User's work email is {E}.", "Login mail changed from {E} to {E}.", "Mi número de identidad es {I}, correo {E}.",
-    "Merci d'écrire à {E} ou d'appeler le {P}.", "Bitte an {A} liefern, Rückfragen an {E}.", "You can call me on {P} after six.", "(my line: {P})", "User lives at {A} and prefers deliveries before noon.",
-    "The parcel should go to {A} this time.", "I moved, the new address is {A}.", "Visit us at {A}.", "Tax number {I} belongs to the same account holder.", "For the check: social security {I}, born in spring.",
-    "Meine Adresse ist {A}.", "Vivo en {A}.", "J'habite au {A}.", "Tel. {P}", "Fax {P}.", "Personalausweis {I} liegt vor.", "{P}", "T {P}", "{A}", "Llámame al {P}.", "Rufen Sie {P} an.", "My SSN is {I}.", "contact: {E}", "national id on file {I} / phone {P}", "id {I}, tel {P}", "ID card {I}", "email {E}, phone {P}",
+    "mails go to {E} only", "Use {E} for the receipt.", "Her private mail is {E}.", "He changed {E} into {E} last week.", "Mi DNI: {I}, mi correo: {E}", "Vous pouvez répondre à {E} ou au {P}.", "Liefern Sie bitte nach {A}, Telefon {P}.",
+    "Ring me on {P} in the evening.", "mobile {P}", "The customer's home is {A}, second floor.", "Deliver it to {A} instead.", "We have moved to {A}.", "Our office: {A}.", "Her tax number is {I}.", "insurance number {I} was checked",
+    "Wohnhaft: {A}", "Mi dirección es {A}.", "Mon adresse est {A}.", "Phone: {P}", "fax {P}", "Ausweisnummer {I}", "{P}", "{A}", "{E}", "Teléfono: {P}", "Telefon: {P}", "social security number {I}", "SSN {I}", "passport no. {I}", "mail: {E}", "id card {I} and phone {P}",
+    "The number of the identity card is {I}.", "numéro de sécurité sociale {I}", "Steuer-ID {I}", "NIF {I}", "mi número de identificación es {I}", "social security no. {I}", "Su pasaporte: {I}", "mon passeport est le {I}", "Meine Passnummer ist {I}.", "National insurance: {I}.", "reach us under {P} or {E}", "he lives at {A} with two cats", "ship to: {A}", "address={A}", "my id is {I}", "verified with {I}", "Passport {I} expires soon.", "The passport ({I}) is valid.", "Tax id: {I}", "her tax number, {I}, is new", "identity number {I}", "Número del DNI: {I}", "ID {I} is hers.", "the ID {I} belongs to him", "Entry: {A}, {P}, {I}.", "{P}, {I}", "{A}, {I}", "license and passport {I}", "from {A} to {A}",
 ]
 NEGATIVE = [
-    "Room {d2}, floor {d1}, next to the {X} Lounge.", "Pin corelib@{d1}.{d1}.{d1} before the build.", "{X} Street Kitchen is only a theme name.", "Invoice {d4}-{d2}-{d4} was paid.", "Batch {d4} {d4} {d4} is done.",
-    "Order {d10} shipped with tracking 1Z{d4}.", "Version {d4}.{d2}.{d4} is out.", "Call the {X} endpoint {d3} times.", "Build {d1}.{d1}.{d1}.{d1} failed at 2025-{m}-{m}T0{d1}:{m}:22Z.", "Mail Merge and {X} Mail are two features.",
-    "Ticket 0{d1}-{d4}-{d4} stays open.", "Ask @{x} in the channel.", "The {X} Gateway talks to {X} Relay on 192.0.2.{d1}.", "Open Street Ledger {X} is a product.", "Milan is the name of the theme.", "The Rosa theme and the Mason build are ready.",
-    '{{"result": "the {w} {w}", "count": {d3}, "ref": "CR-{d5}"}}', "The {w} covers {d5} rows since 2025-{m}-{m}.", "{X} {d1}.{d2}.{d2}", "2025-{m}-{m} 0{d1}:{m} INFO {X} TK-{d5}", "The {X} Falls release follows {X} Bay.", "Serial {d4}-{d4}-{d4} in stock.", "Parcel {d4} {d4} {d2} is late.", "Open {X} Ledger at {d2}.",
+    "See page {d2}, table {d1}, in the {X} Handbook.", "Please upgrade libfoo@{d1}.{d2}.{d1} today.", "The {X} Street edition is out of print.", "Bill {d4}-{d4}-{d2} is settled.", "Lot {d4} {d4} {d4} was sold.", "Purchase {d10} left the depot as 1Z{d4}{d4}.",
+    "We run {d4}.{d2}.{d4} in production.", "{d3} calls to {X} failed.", "At 2024-{m}-{m} 1{d1}:{m}:{m} the job {d1}.{d1}.{d1}.{d1} stopped.", "{X} Studio and {X} Cloud are tools.", "Case 0{d1}-{d4}-{d4} was closed.", "Ping @{x} about it.", "{X} Portal needs 10.0.{d2}.{d1}.",
+    "{X} Park is the name of a release.", "Victoria is a server, and Georgia a cluster.", "The Florence build broke the Lyon branch.", '{{"state": "{w} {w}", "rows": {d3}, "key": "AB-{d5}"}}', "The {w} has {d5} lines since 2024-{m}-{m}.", "{X} v{d1}.{d2}.{d2}", "2024-{m}-{m} 1{d1}:{m} WARN {X} QX-{d5}",
+    "{X} Bridge was replaced by {X} Tower.", "part number {d4}-{d4}-{d4}", "tracking code {d4} {d4} {d2}", "invoice {d8}", "Quote {d4}-{d2}-{d4} was sent.", "bill {d4}-{d2}-{d4}", "order no. {d9}", "serial {d4}{d4}", "Die {G} der {G} zeigt das {G}.", "Das {G} hält den {G} und die {G} mit dem {G}, weil der {G} fehlt.", "Jede {G} braucht ein {G}; nach der {G} kommt das {G}.", "{G} und {G} der {G}", "Zur {G} gehört das {G}, beim {G} nicht.", "Im {G} liegt ein {G}, am {G} keiner.", "Zum {G} hilft {G} dem {G}, vom {G} her.", "{f} Vom {G} zum {G}.", "{F}", "{F} {F}", "{F} {f}", "Wo ist der {G} des {G}?", "Eine {G} ohne {G} hilft dem {G} nicht.", "Reference: {d2} {d3} {d3} {d3}", "the {X} Console shows the {X} Index", "Our Sales Team met the {X} Group.",
+    "Die neue Vorlage im {X} Archiv ist fertig.", "Le Guide {X} est en ligne.", "El Panel {X} ya funciona.", "Street Food Market is a project", "Mail Server, Phone Book and Address List are menus.", "Open Source Week starts at {d2}.", "[{X}] {f}", "# {X} Notes", "{X} Lane Keeper has {d2} stars", "Cedar Court Runner is a game",
+    "row {d5} of {d5}", "{d4}-{m}-{m}", "{d2}:{m}:{m}", "build {d8} ok", "commit {d4}{d4}", "sku {d3} {d3} {d3}", "the room {d3} in {X} House", "account no {d10} is closed", "code {d6}", "PIN {d4}",
 ]
 _FILL = {
-    "en": "the a weekly cached pricing invoice travel report queue roster widget triggers replaces covers signs imports under while because after every second deployment before lunch for accounts older than as agreed in planning meeting user lives contact address phone by from with number at".split(),
-    "de": "die der das Übersicht Sicherung Vorlage Rechnungen Lieferungen Fenster Suche prüft ersetzt begrenzt nach jeder zweiten Auslieferung während Wartung mit einer kurzen Notiz für Konten damit niemand Auskünfte erhält Schicht am Morgen".split(),
-    "fr": "le la les des tableau règle factures livraisons remplace vérifie prolonge avant réunion du matin pour comptes de plus d'un an lorsque quelqu'un demande sans autorisation".split(),
-    "es": "el la los las plantilla cola facturas envíos limita revisa genera hasta que se cierre mes para cuentas con más de un año porque límite anterior era muy bajo".split(),
+    "en": "this that some many every new old small large quick open closed document table button error update reason budget travel plan kitchen window server answer question summary review changes keeps stops begins shows needs moves helps allows early late often never soon again with without about between among until since before during from into onto upon and but or so if then when while".split(),
+    "de": "dieser diese dieses jede viele neue alte kleine große schnell Tabelle Fehler Grund Fenster Frage Antwort Zusammenfassung Prüfung Ordner Kasse Rechnung Garten Straße Zeit Montag Woche ändert hält beginnt zeigt braucht hilft erlaubt früh spät oft nie bald wieder mit ohne über zwischen bis seit vor während von aus auf und aber oder wenn dann als weil".split(),
+    "fr": "ce cette ces chaque plusieurs nouveau ancien petite grande rapide document erreur raison fenêtre question réponse résumé contrôle dossier caisse temps lundi semaine change garde commence montre demande aide permet tôt tard souvent jamais bientôt encore avec sans sur entre depuis avant pendant de du et mais ou si quand parce".split(),
+    "es": "este esta estos cada muchos nuevo antiguo pequeña grande rápido documento error razón ventana pregunta respuesta resumen control carpeta caja tiempo lunes semana cambia guarda empieza muestra necesita ayuda permite pronto tarde nunca otra vez con sin sobre entre desde antes durante de y pero o si cuando porque".split(),
 }
+_GERMAN_NOUNS = (
+    "Haus Garten Schule Lehrer Tisch Stuhl Lampe Küche Zimmer Fenster Tür Dach Keller Auto Zug Bahnhof Flughafen Schiff Hafen Brücke Fluss See Berg Wald Baum Blume Vogel Hund Katze Pferd Kuh Brot Käse Milch Apfel Birne Kaffee Tasse "
+    "Teller Löffel Messer Gabel Buch Heft Stift Papier Brief Zeitung Bild Farbe Musik Lied Film Spiel Ball Mannschaft Verein Arbeit Beruf Chef Kollege Büro Vertrag Geld Bank Konto Preis Kauf Verkauf Laden Markt Ware Kunde Firma "
+    "Gesetz Recht Pflicht Frage Antwort Grund Zweck Ziel Weg Mittel Anfang Ende Mitte Teil Menge Zahl Summe Größe Länge Breite Höhe Zeit Tag Nacht Morgen Abend Woche Monat Jahr Sommer Winter Regen Schnee Wind Sonne Mond Stern Welt "
+    "Land Stadt Dorf Platz Ecke Karte Plan Reise Gast Koffer Hotel Zelt Feuer Wasser Luft Erde Stein Holz Metall Glas Kraft Motor Rad Werk Gerät Maschine Technik Rechner Programm Datei Ordner Zugang Schlüssel Schloss Meldung Prüfung"
+).split()
+_NOUN = "Portal Engine Suite Board Console Monitor Planner Studio Cloud Index Cache Router Viewer Hub Gateway Ledger Relay Theme Kitchen Release Report Team Service Queue Office Room Project".split()
 
 
 class Maker:
-    def __init__(self, seed: int = 11) -> None:
+    """``background`` are sentences without personal details, from any text of the kind to be read."""
+
+    def __init__(self, seed: int = 11, background: list[str] | None = None) -> None:
         self.rng = np.random.default_rng(seed)
+        self.background = background or []
 
     def of(self, items):
         return items[int(self.rng.integers(0, len(items)))]
@@ -63,32 +85,44 @@ class Maker:
     def digits(self, n: int) -> str:
         return "".join(str(d) for d in self.rng.integers(0, 10, n))
 
+    def syllables(self) -> str:
+        """A word that could be a name: two or three syllables of random letters, so that no ending tells names apart."""
+        out = ""
+        for _ in range(2 if self.chance(0.6) else 3):
+            out += ("" if not out and self.chance(0.2) else self.of(_ONSET)) + self.of(_VOWEL) + (self.of(_CODA) if self.chance(0.4) else "")
+        return (out + (self.of(["a", "o", "i", "er", "en", "son", "ski", "ez"]) if self.chance(0.25) else "")).capitalize()
+
     def surname(self) -> str:
-        name = self.of(_STEM) + self.of(_END)
-        return name if self.chance(0.85) else f"{name}-{self.of(_STEM)}{self.of(_END)}"
+        name = self.of(_SURNAME) if self.chance(0.3) else self.syllables()
+        return name if self.chance(0.88) else f"{name}-{self.of(_SURNAME) if self.chance(0.5) else self.syllables()}"
+
+    def given(self) -> str:
+        """Half of them are not in the list of given names, as most of the world's are not."""
+        return self.of(GIVEN) if self.chance(0.5) else self.syllables()
 
     def name(self) -> str:
-        first, last = self.of(GIVEN), self.surname()
+        first, last = self.given(), self.surname()
         form = self.rng.random()
-        if form < 0.5:
+        initial = self.of("ABCDEFGHIJKLMNOPRSTUVWYZ")
+        if form < 0.52:
             out = f"{first} {last}"
         elif form < 0.6:
-            out = f"{first} {self.of('ABCDEFGHJKLMNPRSTWY')}. {last}"
+            out = f"{first} {initial}. {last}"
         elif form < 0.7:
             out = f"{last}, {first}"
-        elif form < 0.78:
-            out = first
+        elif form < 0.77:
+            out = self.given()
         elif form < 0.84:
-            out = f"{self.of('ABCDEFGHJKLMNPRSTWY')}. {last}"
+            out = f"{initial}. {last}"
         elif form < 0.92:
-            out = f"{first} {self.of(['von', 'van', 'de', 'della', 'del', 'van der', 'da'])} {last}"
+            out = f"{first} {self.of(['von', 'van', 'de', 'della', 'del', 'van der', 'da', 'di', 'von der', 'de la'])} {last}"
         else:
-            out = f"{first} {last}"
+            out = f"{first} {self.of(GIVEN)} {last}"
         case = self.rng.random()
-        return out.upper() if case < 0.07 else out.lower() if case < 0.14 else out
+        return out.upper() if case < 0.07 else out.lower() if case < 0.2 else out
 
     def email(self) -> str:
-        first, last = self.of(GIVEN).lower(), (self.of(_STEM) + self.of(_END)).lower()
+        first, last = self.given().lower(), self.surname().lower()
         local = self.of([f"{first}.{last}", f"{first}_{last}", f"{first}-{last}", f"{first[0]}{last}", f"{last}{self.digits(2)}", f"{first}+{self.of(_FILL['en'])}", last])
         domain, form = self.of(_DOMAIN), self.rng.random()
         if form < 0.06:
@@ -103,52 +137,72 @@ class Maker:
         return whole.upper() if form < 0.28 else whole
 
     def phone(self) -> str:
+        """National and international spellings of several countries."""
         d = self.digits
+        mid, n = self.of("23456789") + d(2), self.of("23456789") + d(2)
+        us = f"{n}{{0}}{mid}{{1}}{d(4)}"
         return self.of(
-            [f"+1 {d(3)} 555 0{d(3)}", f"001{d(3)}5550{d(3)}", f"({d(3)}) 555-0{d(3)}", f"{d(3)}-555-0{d(3)}", f"{d(3)}.555.0{d(3)}", f"+49 30 {d(5)} {d(3)}", f"030/{d(8)}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}"]
-            + [f"07{d(3)} {d(3)} {d(3)}", f"+44 7{d(3)} {d(6)}", f"0{d(3)} {d(7)}", f"+34 6{d(2)} {d(3)} {d(3)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"]
+            [f"+1 {us.format(' ', ' ')}", f"001{n}{mid}{d(4)}", f"({n}) {mid}-{d(4)}", us.format("-", "-"), us.format(".", "."), f"+1-{us.format('-', '-')}", f"+49 {d(2)} {d(5)} {d(3)}", f"0{d(2)}/{d(8)}", f"0{d(3)}/{d(7)}", f"+49 1{d(2)} {d(7)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"]
+            + [f"07{d(3)} {d(3)} {d(3)}", f"07{d(3)} {d(6)}", f"+44 7{d(3)} {d(6)}", f"+44 20 {d(4)} {d(4)}", f"0{d(3)} {d(7)}", f"+34 6{d(2)} {d(3)} {d(3)}", f"6{d(2)} {d(3)} {d(3)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+39 3{d(2)} {d(7)}", f"+31 6 {d(8)}", f"{mid}-{d(4)}"]
         )
 
     def identity(self) -> str:
-        d, letter = self.digits, self.of("ABCDUXOK")
-        return self.of([f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"9{d(8)}", f"0{d(1)} {d(3)} {d(3)} {d(3)}", f"{self.of(['QQ', 'XZ', 'XQ'])}{d(6)}{letter}", f"{self.of(['XZ', 'XQ', 'QQ', 'C'])}{d(7)}", f"{d(8)}-{letter}", f"{d(8)}{letter}", f"{self.of(['QQ', 'XZ', 'XQ'])} {d(2)} {d(2)} {d(2)} {letter}"])
+        """Public formats: social security, tax, insurance, passport and identity card numbers."""
+        d, letter, two = self.digits, self.of("ABCDEFGHJKLMNPRSTUVWXYZ"), self.of("ABCEGHJKLMNOPRSTWXYZQ") + self.of("ABCEGHJKLMNPRSTWXYZQ")
+        return self.of([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9), f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{two}{d(6)}{letter}", f"{two} {d(2)} {d(2)} {d(2)} {letter}", f"{two}{d(7)}", f"{letter}{d(8)}", f"{letter}{d(7)}", f"{d(8)}-{letter}", f"{d(8)}{letter}"])
 
     def address(self) -> str:
         town = self.of(_TOWN).replace("_", " ")
         n, form = str(self.rng.integers(1, 190)), self.rng.random()
         sep = ", " if self.chance(0.9) else "\n"
+        street = f"{self.of(_STREET) if self.chance(0.6) else self.syllables()}{' ' + self.of(_STREET) if self.chance(0.1) else ''}"
+        town = town if self.chance(0.5) else self.syllables() + (" " + self.of(["Falls", "Bay", "Hills", "am See", "sur Mer"]) if self.chance(0.15) else "")
+        zip_ = self.digits(5) if self.chance(0.8) else self.digits(4)
         if form < 0.5:
-            out = f"{n}{self.of(['', '', 'B'])} {self.of(_STREET)} {self.of(_KIND)}"
-            if sep == "\n" or self.chance(0.07):
+            out = f"{n}{self.of(['', '', 'B', 'a'])} {street} {self.of(_KIND)}"
+            if self.chance(0.08):
                 out = out.lower()
             if self.chance(0.25):
-                return f"{out}, Apt {self.rng.integers(1, 40)}{sep}{town} {self.digits(5)}"
-            out = f"{out}{sep}{town}{'' if self.chance(0.7) else ' ' + self.digits(5)}"
-            return f"Flat {self.rng.integers(1, 20)}, {out}" if self.chance(0.2) else out
+                return f"{out}, {self.of(['Apt', 'Suite', 'Unit', 'Apartment'])} {self.rng.integers(1, 90)}{sep}{town}{'' if self.chance(0.3) else ' ' + zip_}"
+            out = f"{out}{sep}{town}{'' if self.chance(0.6) else ' ' + zip_}"
+            return f"{self.of(['Flat', 'Apt'])} {self.rng.integers(1, 60)}, {out}" if self.chance(0.2) else out
         if form < 0.7:
-            street = self.of(_GERMAN) if self.chance(0.85) else f"Am {self.of(['Weidengrund', 'Bachufer', 'Stadtpark'])}"
-            return f"{street} {n}{self.of(['', 'a'])}{sep}{self.digits(5)} {town}"
+            ending = self.of(["straße", "str.", "weg", "allee", "gasse", "platz", "ufer"])
+            street = self.of(_GERMAN).replace("_", " ") if self.chance(0.3) else f"{self.syllables()}{ending}" if self.chance(0.8) else f"{self.of(['Am', 'Im', 'An der'])} {self.syllables()}{self.of(['grund', 'hof', 'tor', 'bach', ''])}"
+            return f"{street} {n}{self.of(['', 'a', 'c'])}{sep}{zip_} {town}"
         if form < 0.85:
-            return f"{n} {self.of(['rue', 'avenue'])} {self.of(['des Ormes', 'du Moulin', 'de la Forge', 'des Tilleuls', 'Victor Hugo'])}{sep}{self.digits(5)} {town}"
-        return f"Calle {self.of(['Nogal', 'Mayor', 'del Olmo', 'de la Fuente', 'Real'])} {n}, {self.of(['bajo', 'piso 4', '2.º B', 'piso 1'])}{sep}{town}"
+            way = f"{self.of(['de la', 'du', 'des', 'de'])} {self.syllables()}" if self.chance(0.7) else self.of(["Jean Jaurès", "de la Gare", "de Paris"])
+            return f"{n}{self.of(['', ' bis', ''])} {self.of(['rue', 'avenue', 'boulevard', 'quai', 'chemin'])} {way}{sep}{zip_} {town}"
+        way = f"{self.of(['Calle', 'Avenida', 'Plaza', 'Paseo', 'Via', 'Piazza', 'Rua'])} {self.of(['', 'de la ', 'del ', 'de '])}{self.syllables()} {n}"
+        return f"{way}, {self.of(['bajo', 'piso 2', 'piso 5', '3.º A', '1.º C', zip_])}{sep}{town}"
 
     def filler(self) -> str:
-        words = _FILL[self.of(list(_FILL))]
+        if self.background and self.chance(0.8):
+            text = self.blurred(self.of(self.background), 0.05)
+            case = self.rng.random()
+            return text.upper() if case < 0.08 else text.lower() if case < 0.12 else text
+        language = self.of(list(_FILL))
+        words = _FILL[language] + (_GERMAN_NOUNS[: len(_FILL[language]) // 2] if language == "de" else [])
         out = [self.of(words) for _ in range(int(self.rng.integers(5, 13)))]
         if self.chance(0.3):
-            out.insert(len(out) // 2, self.of([f"project {self.invented()}", f"{self.invented()} build {self.digits(1)}.{self.digits(2)}.{self.digits(2)}", f"(TK-{self.digits(5)})", f"({self.digits(5)} rows)", f"OPS-{self.digits(5)}"]))
+            out.insert(len(out) // 2, self.of([f"tool {self.invented()}", f"{self.invented()} version {self.digits(1)}.{self.digits(2)}.{self.digits(2)}", f"(QX-{self.digits(5)})", f"({self.digits(5)} lines)", f"AB-{self.digits(5)}"]))
         text = " ".join(out)
         text = text[0].upper() + text[1:] + self.of([".", ".", ".", "!", "", ";"])
         return text.upper() if self.chance(0.05) else text
 
+    def blurred(self, text: str, share: float = 0.15) -> str:
+        """Some of the ordinary words are ones never seen, as in the texts to be read."""
+        return re.sub(r"\b[a-zà-ÿ]{3,}\b", lambda m: self.syllables().lower() if self.chance(share) else m[0], text)
+
     def invented(self) -> str:
-        return self.of("Tor Gal Vel Syn Ruv Hal Mar Nim Wem Quo Zor Kes Ith Dra".split()) + self.of("la mi zo ne su ka ri do".split()) + self.of("wick mere bex tisk dor lent gard sea mond thar quill".split())
+        """The name of a thing: made as family names are, so that only the words around it tell."""
+        return self.syllables() if self.chance(0.7) else f"{self.syllables()} {self.of(_NOUN)}"
 
     def document(self) -> tuple[str, list[tuple[int, int, str]]]:
         text, spans = "", []
         for _ in range(int(self.rng.integers(2, 5))):
             form = self.rng.random()
-            template = self.of(NAMED) if form < 0.33 else self.of(OTHER) if form < 0.52 else self.of(NEGATIVE) if form < 0.75 else "{f}"
+            template = self.of(NAMED) if form < 0.4 else self.of(OTHER) if form < 0.6 else self.of(NEGATIVE) if form < 0.8 else "{f}"
             if text:
                 text += self.of([" ", " ", " ", "\n"])
             for part in re.split(r"(\{\w+\})", template.replace("{{", "\1").replace("}}", "\2")):
@@ -160,10 +214,14 @@ class Maker:
                     text += value
                 elif slot == "f":
                     text += self.filler()
+                elif slot == "F":
+                    text += self.filler().upper()
                 elif slot == "T":
-                    text += self.of("Dr. Frau Herr Mr. Ms. Mrs. Prof. Señora Mme".split())
+                    text += self.of("Dr. Frau Herr Mr. Ms. Mrs. Prof. Señora Mme Mr Señor Monsieur Miss".split())
                 elif slot == "X":
                     text += self.invented()
+                elif slot == "G":
+                    text += self.of(_GERMAN_NOUNS) if self.chance(0.7) else self.of(_GERMAN_NOUNS) + self.of(_GERMAN_NOUNS).lower()
                 elif slot == "x":
                     text += self.invented().lower()
                 elif slot == "w":
@@ -173,10 +231,10 @@ class Maker:
                 elif slot[:1] == "d":
                     text += self.digits(int(slot[1:]))
                 else:
-                    text += part.replace("\1", "{").replace("\2", "}")
+                    text += self.blurred(part.replace("\1", "{").replace("\2", "}"))
         return text, spans
 
 
-def documents(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    maker = Maker(seed)
+def documents(count: int, seed: int = 11, background: list[str] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    maker = Maker(seed, background)
     return [maker.document() for _ in range(count)]

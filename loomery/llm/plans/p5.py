@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.pii import redact, train
+from loomery.llm.pii import background, redact, train
 from loomery.plans.tables import table
 
 
 def _redacted(spark: SparkSession, folder: str) -> DataFrame:
     parts = [table(spark, folder, name).select(F.lit(name).alias("src"), "ord", "content") for name in ("messages", "memory_store")]
-    return redact(parts[0].unionByName(parts[1]), "content", train())
+    ordinary = background(table(spark, folder, "documents"), "text", "doc_id")
+    return redact(parts[0].unionByName(parts[1]), "content", train(background=ordinary))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -93,12 +93,45 @@ def field():
     return pii.train(count=1500, epochs=8)
 
 
-def test_personal_details_of_held_out_documents(field):
+HELD_OUT = [  # neither these sentences nor these names are in the training grammar
+    ("Our neighbour [N:Gertrud Ollenbach] waters the plants.", ""),
+    ("The lease was signed by [N:Tomislav Perkovac] last autumn.", ""),
+    ("Ask [N:Wilhelmina Strand] or [N:Oleander Finch] for the spare keys.", ""),
+    ("Postcards reach us at [A:17 Quince Street, Millbrook 20931].", ""),
+    ("Wir wohnen jetzt in der [A:Tannenstraße 12, 80331 Oberau].", ""),
+    ("You will find the shop at [A:9 Cobble Lane, Eastham].", ""),
+    ("Drop a line to [E:w.strand@brieftaube.test] or dial [P:+44 7911 204455].", ""),
+    ("Her pager is [P:(415) 662-9034], her passport [I:K40772519].", ""),
+    ("My identity card number is [I:48213377-P].", ""),
+    ("The witness gave the social security number [I:512-44-9087].", ""),
+    ("Please phone [P:020 7946 0122] first.", ""),
+    ("Send the minutes to [E:oleander_finch@kanzlei.test].", ""),
+    ("Version 3.14.159 fixes row 271828.", ""), ("The weekly report replaces the old index for every customer.", ""), ("Das Fenster der Meldungen begrenzt die Suche während der Nacht.", ""),
+]
+
+
+def test_details_in_sentences_never_trained_on(field):
+    import re
+
+    texts, want = [], set()
+    for i, (marked, _) in enumerate(HELD_OUT):
+        text = ""
+        for part in re.split(r"(\[\w:[^\]]+\])", marked):
+            if part.startswith("["):
+                want.add((i, len(text), part[1]))
+                part = part[3:-1]
+            text += part
+        texts.append(text)
+    have = {(i, a, k) for i, spans in enumerate(pii.find(field, texts)) for a, _, k, _ in spans}
+    assert len(want & have) >= 0.8 * len(want) and len(have - want) <= 3, (sorted(want - have), sorted(have - want))
+
+
+def test_personal_details_of_other_documents_of_the_grammar(field):
     documents = pii_training.documents(300, 77)
-    found = pii.find(field, [t for t, _ in documents], pii._python_pattern(pii.trigger(pii_training.GIVEN)))
+    found = pii.find(field, [t for t, _ in documents])
     want = {(i, a, k) for i, (_, spans) in enumerate(documents) for a, _, k in spans}
     have = {(i, a, k) for i, spans in enumerate(found) for a, _, k, _ in spans}
-    assert len(want & have) >= 0.95 * len(want) and len(have - want) <= 0.05 * len(have)
+    assert len(want & have) >= 0.85 * len(want) and len(have - want) <= 0.15 * len(have), (len(want & have) / len(want), len(have - want) / len(have))
 
 
 def test_redaction(spark, field):
