@@ -26,7 +26,7 @@ LABELS = "OEPIAN"
 TYPES = {"E": "email", "P": "phone", "I": "id_number", "A": "address", "N": "name"}
 L = len(LABELS)
 WINDOW = 3
-ROUNDS = 8
+ROUNDS = 6
 #: How much ordinary text is read for training.
 BACKGROUND_TEXTS, BACKGROUND_SENTENCES = 1500, 3
 #: A detail left in a text is worse than a word too many taken out: marginals are weighed so against those of no detail.
@@ -114,28 +114,49 @@ class Batch:
     skip_b: np.ndarray
 
 
+#: What an email address has after its local part, and what that part is made of.
+_SIGN = re.compile(r" ?@|\s?[(\[]at[)\]]| at [^\W_][\w\-]*(?: dot [^\W_][\w\-]*)* dot ")
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Places of email addresses: looked for around their sign, not at every word."""
+    out: list[tuple[int, int]] = []
+    for m in _SIGN.finditer(text):
+        least = out[-1][1] if out else 0
+        begin = m.start()
+        while begin > least and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+            begin -= 1
+        found = _EMAIL.match(text, begin) if begin < m.start() else None
+        if found and found.end() > m.start():
+            out.append(found.span())
+    return out
+
+
 def read(texts: list[str], encoder: Encoder) -> Batch:
-    of, start, end, seq, words, run = [], [], [], [], [], []
-    for i, text in enumerate(texts):
-        runs = [(m.start(), m.end(), 2) for m in _EMAIL.finditer(text)] if "@" in text or "at" in text or "AT" in text else []
-        emails = len(runs)
-        for m in _NUMBER.finditer(text):
-            if m.end() - m.start() >= 3 and not any(x < m.end() and m.start() < y for x, y, _ in runs[:emails]):
-                runs.append((m.start(), m.end(), encoder.run(m[0])))
-        runs.sort()
-        r = 0
-        for m in _TOKEN.finditer(text):
-            s = m.start()
-            while r < len(runs) and runs[r][1] <= s:
-                r += 1
-            of.append(i)
-            start.append(s)
-            end.append(m.end())
-            seq.append(i)
-            words.append(m[0])
-            run.append(runs[r][2] if r < len(runs) and runs[r][0] <= s else 0)
+    """The texts are read as one, with gaps that no pattern reaches over."""
+    gap = "\t\t\t"
+    whole = gap.join(texts)
+    begins = np.concatenate([[0], np.cumsum([len(t) + len(gap) for t in texts])[:-1]]).astype(np.int64) if texts else np.zeros(1, np.int64)
+    runs = [(a, b, 2) for a, b in emails(whole)]
+    taken, k = runs[:], 0
+    for m in _NUMBER.finditer(whole):
+        a, b = m.span()
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if b - a >= 3 and not (k < len(taken) and taken[k][0] < b):
+            runs.append((a, b, encoder.run(m[0])))
+    runs.sort()
+    words = _TOKEN.findall(whole)
+    places = np.array([m.span() for m in _TOKEN.finditer(whole)], np.int64).reshape(-1, 2)
+    of_a = np.searchsorted(begins, places[:, 0], side="right") - 1
+    start, end = places[:, 0] - begins[of_a], places[:, 1] - begins[of_a]
+    run = np.zeros(len(words), np.int64)
+    if runs:
+        table = np.array(runs, np.int64)
+        at = np.searchsorted(table[:, 1], places[:, 0], side="right")
+        inside = (at < len(table)) & (table[np.minimum(at, len(table) - 1), 0] <= places[:, 0])
+        run[inside] = table[at[inside], 2]
     word, unique = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, int), [])
-    of_a = np.array(of, np.int64)
     # repeated words of a document: each occurrence is linked to the next
     low, _ = pd.factorize(np.array([w.lower() if len(w) > 3 and w[0].isalpha() else "" for w in unique], dtype=object)) if words else (np.zeros(0, int), [])
     long = np.array([len(w) > 3 and w[0].isalpha() and not w.islower() for w in unique], bool)
@@ -143,7 +164,7 @@ def read(texts: list[str], encoder: Encoder) -> Batch:
     key = of_a[at] * (len(unique) + 1) + low[word[at]] if words else at
     order = np.argsort(key, kind="stable")
     same = np.flatnonzero(np.diff(key[order]) == 0)
-    return Batch(of_a, np.array(start, np.int64), np.array(end, np.int64), np.array(seq, np.int64), word, list(unique), np.array(run, np.int64), at[order[same]], at[order[same + 1]])
+    return Batch(of_a, start, end, of_a, word, list(unique), run, at[order[same]], at[order[same + 1]])
 
 
 @dataclass
@@ -158,49 +179,54 @@ class Field:
     def unary(self, b: Batch) -> np.ndarray:
         n = len(b.word)
         codes = np.array([self.encoder.word(w) for w in b.unique], np.int64).reshape(-1, 4)
-        whole = sum(self.tables[k][codes[:, j]] for j, k in enumerate(SIZES))
-        out = np.tile(self.bias, (n, 1))
+        whole = sum(self.tables[k][codes[:, j]] for j, k in enumerate(SIZES)).astype(np.float32)
+        run = self.run.astype(np.float32)
+        out = np.tile(self.bias.astype(np.float32), (n, 1))
         for o in range(-WINDOW, WINDOW + 1):
             lo, hi = max(0, -o), min(n, n - o)
             if lo >= hi:
                 continue
-            same = b.seq[lo:hi] == b.seq[lo + o : hi + o]
-            out[lo:hi] += whole[b.word[lo + o : hi + o], o + WINDOW] * same[:, None]
+            other = b.seq[lo:hi] != b.seq[lo + o : hi + o]
+            part = whole[:, o + WINDOW][b.word[lo + o : hi + o]]
             if abs(o) <= 1:
-                out[lo:hi] += self.run[b.run[lo + o : hi + o], o + 1] * same[:, None]
+                part += run[:, o + 1][b.run[lo + o : hi + o]]
+            part[other] = 0
+            out[lo:hi] += part
         return out
 
     def marginals(self, b: Batch) -> np.ndarray:
-        """Loopy sum-product in log space: messages along the chain and the skips, all at once in every round."""
+        """Loopy sum-product: messages along the chain and the skips, all at once in every round. A word is linked to at most
+        the next and the last one like it, so no message is added up; all are normalised, so none needs a logarithm."""
         u = self.unary(b)
         n = len(u)
         if not n:
             return u
-        linked = np.concatenate([[False], b.seq[1:] == b.seq[:-1]])[:, None]
-        right, left = np.zeros((n, L)), np.zeros((n, L))  # to a word from its left, from its right
-        to_b, to_a = np.zeros((len(b.skip_a), L)), np.zeros((len(b.skip_a), L))
-        chain, back, skip = np.exp(self.chain), np.exp(self.chain.T), np.exp(self.skip)
-
-        def passed(belief: np.ndarray, pair: np.ndarray) -> np.ndarray:
-            top = belief.max(axis=1, keepdims=True)
-            m = np.log(np.exp(belief - top) @ pair + 1e-30)
-            return m - m.max(axis=1, keepdims=True)
-
-        for _ in range(ROUNDS):
-            far = np.zeros((n, L))
-            np.add.at(far, b.skip_b, to_b)
-            np.add.at(far, b.skip_a, to_a)
-            base = u + far
-            new_right = np.vstack([np.zeros((1, L)), passed(base[:-1] + right[:-1], chain)]) * linked
-            new_left = np.vstack([passed(base[1:] + left[1:], back) * linked[1:], np.zeros((1, L))])
-            full = base + right + left
-            to_b, to_a = passed(full[b.skip_a] - to_a, skip), passed(full[b.skip_b] - to_b, skip)
-            right, left = new_right, new_left
-        far = np.zeros((n, L))
-        np.add.at(far, b.skip_b, to_b)
-        np.add.at(far, b.skip_a, to_a)
-        z = u + far + right + left
-        z = np.exp(z - z.max(axis=1, keepdims=True))
+        own = np.exp(np.maximum(u - u.max(axis=1, keepdims=True), -40))
+        ends = np.flatnonzero(b.seq[1:] != b.seq[:-1])
+        right, left = np.ones((n, L), np.float32), np.ones((n, L), np.float32)  # to a word from its left, from its right
+        to_b, to_a = np.ones((len(b.skip_a), L), np.float32), np.ones((len(b.skip_a), L), np.float32)
+        chain, back, skip = (np.exp(x).astype(np.float32) for x in (self.chain, self.chain.T, self.skip))
+
+        one = np.ones((L, 1), np.float32)
+
+        def normed(message: np.ndarray) -> np.ndarray:
+            message /= message @ one + np.float32(1e-30)
+            message += np.float32(1e-12)
+            return message
+
+        for turn in range(ROUNDS + 1):
+            base = own.copy()
+            base[b.skip_b] *= to_b
+            base[b.skip_a] *= to_a
+            if turn == ROUNDS:
+                break
+            onward, backward = base * right, base * left
+            full = onward[b.skip_a] * left[b.skip_a], onward[b.skip_b] * left[b.skip_b]
+            right[1:], left[:-1] = normed(onward[:-1] @ chain), normed(backward[1:] @ back)
+            right[ends + 1], left[ends] = 1, 1
+            if len(to_b):
+                to_b, to_a = normed(np.maximum(full[0] / to_a, 1e-30) @ skip), normed(np.maximum(full[1] / to_b, 1e-30) @ skip)
+        z = base * right * left
         return z / z.sum(axis=1, keepdims=True)
 
 
@@ -379,26 +405,37 @@ def find(field: Field, texts: list[str]) -> list[list[tuple[int, int, str, float
 FOUND = "array<struct<pii_type:string,start_pos:int,end_pos:int,confidence:double>>"
 
 
-def _marked(field: Field):
+def _marked(field: Field, cleaned: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for begin in range(0, len(whole), 2000):
                 pdf = whole.iloc[begin : begin + 2000]
                 texts = [t if isinstance(t, str) else "" for t in pdf["__text"]]
-                found, clean = [], []
-                for t, spans in zip(texts, find(field, texts)):
-                    found.append([{"pii_type": TYPES[k], "start_pos": a + 1, "end_pos": b, "confidence": c} for a, b, k, c in spans])
-                    at, parts = 0, []
-                    for a, b, k, _ in spans:
-                        if a >= at:
-                            parts += [t[at:a], f"[{TYPES[k].upper()}]"]
-                            at = b
-                    clean.append("".join([*parts, t[at:]]) if spans else None)
-                yield pdf.drop(columns="__text").assign(__found=found, __clean=clean)
+                spans = find(field, texts)
+                found = [[{"pii_type": TYPES[k], "start_pos": a + 1, "end_pos": b, "confidence": c} for a, b, k, c in s] for s in spans]
+                out = pdf.drop(columns="__text").assign(__found=found)
+                yield out.assign(__clean=[replaced(t, s) if s else None for t, s in zip(texts, spans)]) if cleaned else out
 
     return run
 
 
+def replaced(text: str, spans: list[tuple[int, int, str, float]]) -> str:
+    """The text with a typed placeholder for each span."""
+    at, parts = 0, []
+    for a, b, k, _ in spans:
+        if a >= at:
+            parts += [text[at:a], f"[{TYPES[k].upper()}]"]
+            at = b
+    return "".join([*parts, text[at:]])
+
+
+def details(df: DataFrame, text: str, field: Field) -> DataFrame:
+    """``redact`` without the texts: the other columns of ``df`` and ``pii``."""
+    df = df.select(*[c for c in df.columns if c not in ("pii", text)], F.col(text).alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "__text")
+    return df.mapInPandas(_marked(field, False), f"{fields}, __found {FOUND}").withColumnRenamed("__found", "pii")
+
+
 def redact(df: DataFrame, text: str, field: Field) -> DataFrame:
     """Add ``pii`` (type, start and end place from 1, confidence of every personal detail) and ``redacted`` (the text
     with typed placeholders such as [EMAIL], otherwise unchanged).
@@ -409,5 +446,5 @@ def redact(df: DataFrame, text: str, field: Field) -> DataFrame:
     df = df.select(*[c for c in df.columns if c not in ("pii", "redacted")])
     marked = df.withColumn("__text", F.col(text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    out = marked.mapInPandas(_marked(field), f"{fields}, __found {FOUND}, __clean string")
+    out = marked.mapInPandas(_marked(field, True), f"{fields}, __found {FOUND}, __clean string")
     return out.select(*df.columns, F.col("__found").alias("pii"), F.coalesce("__clean", F.col(text)).alias("redacted"))
