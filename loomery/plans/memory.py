@@ -175,6 +175,8 @@ _FOLD = rf"regexp_replace({strip_sql('replace(lower(content), $$ß$$, $$ss$$)')}
 _MEAN = "m"
 _REL = "relevance"
 
+_FIRST_THREE = "list_filter(l, lambda x, i: list_position(l, x) = i)[1:3]"
+
 ORACLE = {
     "memory_rejected": f"SELECT memory_type, len(coalesce(namespace, [])) > 0 AND coalesce({strip_sql('key')}, '') <> '' AND coalesce({strip_sql('content')}, '') <> '' AND (importance IS NULL OR importance BETWEEN 0 AND 1) AS valid, count(*) AS rows FROM {ENTRIES} GROUP BY ALL",
     "memory_latest": f"SELECT array_to_string(namespace, '/') AS namespace, key, arg_max(id, (created_at, ord)) AS id FROM {ENTRIES} WHERE {_LIVE} GROUP BY 1, 2",
@@ -198,6 +200,22 @@ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER B
     "memory_search_filtered": f"""WITH {_LEX} SELECT l.query_id, l.rank, l.id FROM lexical l JOIN e USING (id) WHERE (e.importance IS NULL OR e.importance >= 0.5) AND e.metadata['source'] = 'chat'
 AND e.created_at::TIMESTAMP BETWEEN TIMESTAMP '2025-02-01' AND TIMESTAMP '2025-09-01'""",
     "memory_context": f"WITH {_LEX} SELECT l.query_id, md5(string_agg('- [' || e.memory_type || '] ' || e.key || ': ' || e.content, chr(10) ORDER BY l.rank)) AS context_md5 FROM lexical l JOIN e USING (id) GROUP BY l.query_id",
+    "memory_reverse_links": f"""WITH e AS (SELECT * FROM {ENTRIES}),
+links AS (SELECT DISTINCT n.id AS from_id, n.namespace, n.ord, unnest(n.related_ids) AS id FROM e n),
+firsts AS (SELECT id, namespace, list(from_id ORDER BY r) AS before FROM (SELECT *, row_number() OVER (PARTITION BY id, namespace ORDER BY ord DESC, from_id) AS r FROM links WHERE from_id <> id) WHERE r <= 3 GROUP BY ALL),
+merged AS (SELECT o.id, list_concat(before, coalesce(related_ids, [])) AS l FROM (SELECT * FROM e WHERE {_LIVE}) o JOIN firsts f ON f.id = o.id AND f.namespace = o.namespace)
+SELECT id, array_to_string({_FIRST_THREE}, ',') AS related FROM merged""",
+    "memory_related": f"""WITH {_LEX}, found AS (SELECT query_id, list(id ORDER BY rank) AS more FROM lexical GROUP BY query_id),
+merged AS (SELECT e.id, list_filter(list_concat(coalesce(e.related_ids, []), coalesce(more, [])), lambda x: x <> e.id) AS l FROM e LEFT JOIN found ON query_id = e.ord WHERE e.ord % 100 = 0)
+SELECT id, array_to_string({_FIRST_THREE}, ',') AS related FROM merged""",
+    "memory_semantic_onehop": f"""WITH {_BASE}, v AS (SELECT e.ord, e.id, embedding::DOUBLE[] AS x FROM embeddings JOIN e ON vec_id = e.ord),
+near AS (SELECT * FROM (SELECT q.ord AS query_id, s.id, list_cosine_similarity(q.x, s.x) AS sim, row_number() OVER (PARTITION BY q.ord ORDER BY round(list_cosine_similarity(q.x, s.x), 9) DESC, s.ord) AS rank FROM v q, v s WHERE q.ord % 100 = 0) WHERE rank <= {10 * LIMIT}),
+direct AS (SELECT query_id, near.rank, id, ord, sim AS r, importance, related_ids, 0 AS hop FROM near JOIN cand USING (query_id, id) WHERE sim > 0),
+linked AS (SELECT l.query_id, l.rank, c.id, c.ord, 0.9e0 * l.r AS r, c.importance, c.related_ids, 1 AS hop FROM (SELECT query_id, rank, r, unnest(related_ids) AS to_id FROM direct) l JOIN cand c ON c.query_id = l.query_id AND c.id = l.to_id),
+both_ AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY rank, hop) AS seen FROM (SELECT * FROM direct UNION ALL SELECT * FROM linked)),
+kept AS (SELECT *, coalesce(sum(CASE WHEN seen = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM both_),
+one AS (SELECT query_id, id, ord, {_BLEND.format(r="r")} AS score FROM kept WHERE before < {LIMIT} QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY hop, rank) = 1)
+SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM one) WHERE rank <= {LIMIT}""",
     "memory_policy_filter": f"SELECT memory_type, count(*) AS visible FROM {ENTRIES} WHERE namespace[1] = 'user' GROUP BY memory_type",
     "memory_metadata_filter": f"SELECT id FROM {ENTRIES} WHERE metadata['extracted_by'] = 'llm' AND created_at::TIMESTAMP >= TIMESTAMP '2025-03-01'",
     "reflection_sources": f"""SELECT namespace, id, rank FROM (SELECT array_to_string(namespace, '/') AS namespace, id, row_number() OVER (PARTITION BY namespace ORDER BY coalesce(importance, 0e0) DESC, created_at DESC, ord) AS rank
