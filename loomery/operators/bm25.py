@@ -46,12 +46,26 @@ def query_terms(queries: DataFrame, id: str, text: str, group: str | None = None
     return asked.groupBy("query_id", "group", "token").agg(F.count(F.lit(1)).alias("times"))
 
 
+#: So many different words of queries are broadcast at most; more are joined by shuffling.
+BROADCAST_WORDS = 100_000
+
+
+def asked_only(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, frequencies) of the words that are asked for. The semi join goes below the aggregates, so of a document
+    that is not indexed yet only those words are counted and shuffled; stop words that nobody asks for are no hot keys."""
+    words = asked.select("group", "token").distinct()
+    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        words = F.broadcast(words)
+    return tuple(part.join(words, ["group", "token"], "left_semi") for part in (index.postings, index.frequencies))
+
+
 def scores(index: Index, asked: DataFrame) -> DataFrame:
     """``query_id, id, ord, score`` for every document with a word of the query."""
-    weights = asked.join(index.frequencies, ["group", "token"]).join(F.broadcast(index.stats) if _one_group(index) else index.stats, "group")
+    postings, frequencies = asked_only(index, asked)
+    weights = asked.join(frequencies, ["group", "token"]).join(F.broadcast(index.stats) if _one_group(index) else index.stats, "group")
     idf = F.log1p((F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weights = weights.select("query_id", "group", "token", (idf * F.col("times")).alias("w"), "avgdl")
-    met = index.postings.join(weights, ["group", "token"])
+    met = postings.join(weights, ["group", "token"])
     tf, k1, b = F.col("tf").cast("double"), F.lit(float(index.k1)), F.lit(float(index.b))
     part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (F.lit(1.0) - b + b * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "id", "ord").agg(F.sum(part).alias("score"))
