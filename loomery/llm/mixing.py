@@ -100,8 +100,8 @@ def read_targets(targets: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
 
 def realised(once: DataFrame, sums: dict[str, tuple[int, int]], weights: dict[str, float], total: float, repeats: dict[str, int], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``text_key, source, size, uses`` for the weights: each source is gone through as a whole as often as its budget
-    allows; the rest comes from whole blocks in the order of a hash and from the first items of one more block, so it is
-    right to less than one item. Running sums go over at most ``GROUPS`` groups of blocks a source, then inside a group,
+    allows; the rest comes from whole blocks in the order of a hash and from the shortest items of one more block, so it is
+    right to half an item. Running sums go over at most ``GROUPS`` groups of blocks a source, then inside a group,
     then inside the one block that is cut, so no source is summed up in one task."""
     plan = []
     for k, w in weights.items():
@@ -118,10 +118,10 @@ def realised(once: DataFrame, sums: dict[str, tuple[int, int]], weights: dict[st
     blocks = blocks.join(groups, ["source", "group"]).withColumn("through", F.col("from") + F.sum("held").over(before("source", "group").orderBy("turn", "block")))
     blocks = blocks.select("source", "block", "through", (F.col("through") - F.col("held")).alias("start"))
     placed = placed.join(blocks, ["source", "block"])
-    inside = Window.partitionBy("source", "block").orderBy("order", "text_key")
+    inside = Window.partitionBy("source", "block").orderBy("size", "order", "text_key")
     cut = placed.where((F.col("start") < F.col("rest")) & (F.col("through") > F.col("rest"))).withColumn("run", F.col("start") + F.sum("size").over(inside))
     extra = placed.where(F.col("through") <= F.col("rest")).select("text_key", F.lit(1).alias("more"))
-    extra = extra.unionByName(cut.where(F.col("run") <= F.col("rest")).select("text_key", F.lit(1).alias("more")))
+    extra = extra.unionByName(cut.where(F.col("run") <= F.col("rest") + F.col("size") / 2).select("text_key", F.lit(1).alias("more")))
     out = placed.select("text_key", "source", "size", "full").join(extra, "text_key", "left")
     return out.select("text_key", "source", "size", (F.col("full") + F.coalesce("more", F.lit(0))).alias("uses")).where("uses > 0")
 
