@@ -151,3 +151,12 @@ def test_nothing_imports_the_subpackage():
 
     root = pathlib.Path(splitters.__file__).parents[1]
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "loomery.llm" in p.read_text()]
+
+
+def test_scores_overflow_and_verdicts(spark):
+    rows = [(1.5, 0.0, "Error: CONTEXT_LENGTH_EXCEEDED"), (0.5, None, "please reduce the length"), (0.5, 2.0, "exceeds the limit of refunds"), (-1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "r double, i double, m string")
+    got = df.select(T.blend(F.col("r"), F.col("i")).alias("b"), T.is_overflow(F.col("m")).alias("o")).collect()
+    assert [round(g.b, 9) for g in got] == [0.7, 0.5, 0.65, 0.3] and [g.o for g in got] == [True, True, False, None]
+    assert evals.verdict('{"passed": "false"}') is None and evals.verdict("[]") is None and evals.verdict(None) is None
+    assert evals.verdict('```json\n{"passed": false, "reason": " x "}\n```') == (False, 0.0, "x")
