@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from loomery.errors import NamespaceAccessError
 from loomery.functions import text as T
-from loomery.operators import bm25
+from loomery.operators import blocks, bm25
 from loomery.operators.ranking import fuse, top_k
+from loomery.session import checkpoint
 
 #: The types of entries.
 TYPES = ["semantic", "entity", "episodic", "procedural", "preference", "decision"]
@@ -167,34 +168,67 @@ def fallback_search(queries: DataFrame, entries: DataFrame) -> DataFrame:
     return top_k(hit.withColumn("score", F.coalesce("importance", F.lit(0.0))), ["query_id"], "score", F.col("limit"), ["ord"])
 
 
+def searched(entries: DataFrame, as_of: str) -> DataFrame:
+    """The active entries with what is searched of them as ``searchable``, written once; as it is when it is one already."""
+    if "searchable" in entries.columns:
+        return entries
+    text = T.searchable(F.col("namespace"), F.col("memory_type"), F.col("key"), F.col("content"), F.col("metadata"))
+    rows = entries.where(is_active(as_of) & F.col("namespace").isNotNull())
+    return checkpoint(rows.select("id", "ord", "namespace", "memory_type", "importance", "created_at", text.alias("searchable")))
+
+
+def scope(prefix: str, memory_type: str) -> Column:
+    """A namespace prefix and a type (null: any) as one text."""
+    return F.to_json(F.struct(F.col(prefix).alias("prefix"), F.col(memory_type).alias("type")))
+
+
+def in_scopes(queries: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each ``searched`` entry once for every ``scope`` of the queries that it is in, however many queries have that."""
+    asked = queries.select(F.col("namespace").alias("prefix"), F.col("memory_type").alias("asked_type")).distinct()
+    levels = F.transform(F.sequence(F.lit(0), F.size("namespace")), lambda n: F.slice("namespace", 1, n))
+    hit = stored.select("*", F.explode(levels).alias("prefix")).join(bm25.small(asked), "prefix")
+    hit = hit.where(F.col("asked_type").isNull() | (F.col("asked_type") == F.col("memory_type")))
+    return hit.withColumn("scope", scope("prefix", "asked_type")).drop("prefix", "asked_type")
+
+
 def lexical_search(queries: DataFrame, entries: DataFrame, as_of: str) -> DataFrame:
     """BM25 among the candidates of each query, with their own statistics; scores over the best one, blended with the
-    importance after ranking. A query without a hit falls back to the overlap of words."""
-    hit = matching(queries, entries, as_of)
-    text = T.searchable(F.col("namespace"), F.col("memory_type"), F.col("key"), F.col("content"), F.col("metadata"))
-    found = hit.select(F.col("query_id").alias("group"), "id", "ord", text.alias("text"), "importance", "query", "limit")
-    index = bm25.build(found, "id", "text", "ord", "group")
-    asked = queries.select("query_id", F.col("query_id").alias("group"), "query")
-    scored = bm25.scores(index, bm25.query_terms(asked, "query_id", "query", "group")).where("score > 0")
-    about = found.select(F.col("group").alias("query_id"), "id", "importance", "limit")
-    ranked = top_k(scored.join(about, ["query_id", "id"]), ["query_id"], "score", F.col("limit"), ["ord"])
+    importance after ranking. A query without a hit falls back to the overlap of words. Queries of one namespace and type
+    have the same candidates, so these are indexed once for all of them."""
+    hit = in_scopes(queries, searched(entries, as_of))
+    index = bm25.build(hit, "id", "searchable", "ord", "scope", more=("importance",))
+    asked = queries.select("query_id", scope("namespace", "memory_type").alias("scope"), "query", "limit")
+    most = queries.agg(F.max("limit")).first()[0] or 0
+    found = bm25.best(index, bm25.query_terms(asked, "query_id", "query", "scope"), most)
+    ranked = checkpoint(found.join(asked.select("query_id", "limit"), "query_id").where(F.col("rank") <= F.col("limit")))
     best = F.max("score").over(Window.partitionBy("query_id"))
-    ranked = ranked.withColumn("relevance", F.col("score") / best)
-    bare = found.join(scored.select(F.col("query_id").alias("group")).distinct(), "group", "left_anti")
-    bare = bare.withColumn("score", T.overlap(F.col("query"), F.col("text"))).where("score > 0")
-    bare = top_k(bare.withColumnRenamed("group", "query_id"), ["query_id"], "score", F.col("limit"), ["ord"]).withColumn("relevance", F.col("score"))
+    without = asked.where(F.size(T.terms(F.col("query"))) > 0).join(ranked.select("query_id").distinct(), "query_id", "left_anti")
+    bare = hit.join(bm25.small(without), "scope").withColumn("score", T.overlap(F.col("query"), F.col("searchable"))).where("score > 0")
+    bare = top_k(bare, ["query_id"], "score", F.col("limit"), ["ord"]).withColumn("relevance", F.col("score"))
     columns = ["query_id", "rank", "id", "ord", "relevance", "importance"]
-    return ranked.select(columns).unionByName(bare.select(columns)).withColumn("score", T.blend(F.col("relevance"), F.col("importance")))
+    both = ranked.withColumn("relevance", F.col("score") / best).select(columns).unionByName(bare.select(columns))
+    return both.withColumn("score", T.blend(F.col("relevance"), F.col("importance")))
 
 
 def episodic_search(queries: DataFrame, entries: DataFrame, as_of: str) -> DataFrame:
-    """Mean of word overlap and recency; the type is episodic unless the query names one."""
+    """Mean of word overlap and recency; the type is episodic unless the query names one.
+
+    An entry with a word of the query is found by ``blocks``. Of those without one only the newest of their namespace and
+    type can be among the best, for nothing else tells them apart."""
     asked = queries.withColumn("memory_type", F.coalesce("memory_type", F.lit("episodic")))
-    hit = matching(asked, entries, as_of)
-    text = T.searchable(F.col("namespace"), F.col("memory_type"), F.col("key"), F.col("content"), F.col("metadata"))
-    hit = hit.withColumn("relevance", T.overlap(F.col("query"), text)).withColumn("recent", T.recency(F.col("created_at"), F.unix_micros(time(as_of))))
-    hit = hit.withColumn("mean", (F.col("relevance") + F.col("recent")) / 2)
-    ranked = top_k(hit, ["query_id"], "mean", F.col("limit"), ["ord"])
+    terms = asked.select("query_id", scope("namespace", "memory_type").alias("group"), "query", "limit", F.array_distinct(T.terms(F.col("query"))).alias("terms"))
+    most = queries.agg(F.max("limit")).first()[0] or 0
+    hit = in_scopes(asked, searched(entries, as_of)).withColumnRenamed("scope", "group").withColumn("recent", T.recency(F.col("created_at"), F.unix_micros(time(as_of))))
+    weights = terms.select("query_id", "group", F.lit(0.0).alias("mean"), F.size("terms").alias("scale"), F.explode("terms").alias("token"), F.lit(1.0).alias("w"))
+    docs = hit.select("group", "id", "ord", "importance", "recent", F.array_distinct(T.terms(F.col("searchable"))).alias("tokens"))
+    met = blocks.best(docs, weights, weights.count(), most, lambda tf, docs, doc, mean: tf, lambda sums, scale, docs, doc: (sums / scale + docs["recent"].to_numpy()[doc]) / 2, ["importance", "recent"])
+    met = met.join(terms.select("query_id", "limit", F.size("terms").alias("size")), "query_id").withColumn("relevance", F.col("sum") / F.col("size"))
+    newest = Window.partitionBy("group").orderBy(F.round(F.col("recent") / 2, 9).desc(), "ord")
+    few = hit.select("group", "id", "ord", "importance", "recent", "searchable", F.row_number().over(newest).alias("n")).where(F.col("n") <= most)
+    other = few.join(terms, "group").withColumn("relevance", T.overlap(F.col("query"), F.col("searchable"))).where("relevance = 0")
+    columns = ["query_id", "id", "ord", "limit", "relevance", "recent", "importance"]
+    both = met.select(columns).unionByName(other.select(columns)).withColumn("mean", (F.col("relevance") + F.col("recent")) / 2)
+    ranked = top_k(both, ["query_id"], "mean", F.col("limit"), ["ord"])
     return ranked.withColumn("score", T.blend(F.col("mean"), F.col("importance"))).select("query_id", "rank", "id", "ord", "relevance", "recent", "importance", "score")
 
 

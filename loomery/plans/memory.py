@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from loomery.functions import text as T
 from loomery.operators import memory as M
 from loomery.operators import ranking, vectors
+from loomery.operators.bm25 import small
 from loomery.plans.tables import entries, table
 from loomery.plans.texts import ENTRIES, strip_sql
+from loomery.session import checkpoint
 from loomery.sources import stores
 
 AS_OF = "2025-10-01 00:00:00"
@@ -76,18 +78,22 @@ def memory_episodic(spark, folder):
 
 
 def memory_hybrid_routed(spark, folder):
-    fused = M.hybrid_search([_lexical(spark, folder), _episodic(spark, folder)], _queries(spark, folder), {"*": [0, 1], "procedural": [0]})
+    asked, stored = _queries(spark, folder), M.searched(entries(spark, folder), AS_OF)
+    fused = M.hybrid_search([M.lexical_search(asked, stored, AS_OF), M.episodic_search(asked, stored, AS_OF)], asked, {"*": [0, 1], "procedural": [0]})
     return _out(fused, F.round("fused", 9).alias("fused"))
 
 
 def memory_multi_store(spark, folder):
-    lists = _episodic(spark, folder).select("query_id", F.lit(0).alias("list_no"), "rank", "id").unionByName(_lexical(spark, folder).select("query_id", F.lit(1).alias("list_no"), "rank", "id"))
+    asked, stored = _queries(spark, folder), M.searched(entries(spark, folder), AS_OF)
+    lists = M.episodic_search(asked, stored, AS_OF).select("query_id", F.lit(0).alias("list_no"), "rank", "id").unionByName(M.lexical_search(asked, stored, AS_OF).select("query_id", F.lit(1).alias("list_no"), "rank", "id"))
     return _out(ranking.first_wins(lists, LIMIT))
 
 
 def memory_search_filtered(spark, folder):
     rule = M.MetadataFilter(equals={"source": "chat"}, created_after="2025-02-01 00:00:00", created_before="2025-09-01 00:00:00")
-    hits = M.with_filters(_lexical(spark, folder).drop("importance"), entries(spark, folder), _queries(spark, folder), rule)
+    ranked = checkpoint(_lexical(spark, folder).drop("importance"))
+    hit = table(spark, folder, "memory_store").join(small(ranked.select("id").distinct()), "id", "left_semi").dropDuplicates(["ord"])  # only those are shuffled
+    hits = M.with_filters(ranked, hit, _queries(spark, folder), rule)
     return _out(hits)
 
 
