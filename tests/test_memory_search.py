@@ -26,7 +26,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["memory_hybrid_routed", "memory_multi_store"])
+@pytest.mark.parametrize("name", ["memory_hybrid_routed", "memory_multi_store", "memory_search_filtered"])
 def test_searches_equal_their_sql(spark, folder, name):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
