@@ -18,9 +18,9 @@ def folder(spark, tmp_path_factory):
         words = " ".join(rng.choice("red green blue café naïve one_two three".split()) for _ in range(rng.randrange(1, 6)))
         about = {"source": "chat", "extracted_by": "llm"} if i % 2 else None
         gone = datetime(2025, 3, 1) if i % 9 == 0 else None
-        rows.append((i, f"m{i}", rng.choice(names), rng.choice(M.TYPES), f"k{i % 7}", words if i % 100 else "zzzé", about, gone, None, [], rng.choice([None, 0.2, 0.9]), datetime(2025, 2, 1) + timedelta(hours=rng.randrange(5000))))
+        rows.append((i, f"m{i}", rng.choice(names), rng.choice(M.TYPES), f"k{i % 7}", words if i % 100 else "zzzé", about, gone, None, [], rng.choice([None, 0.2, 0.9]), datetime(2025, 2, 1) + timedelta(hours=rng.randrange(5000)), datetime(2025, 9, 20)))
     rows.append(rows[5])
-    schema = "ord bigint, id string, namespace array<string>, memory_type string, key string, content string, metadata map<string, string>, invalidated_at timestamp, expires_at timestamp, related_ids array<string>, importance double, created_at timestamp"
+    schema = "ord bigint, id string, namespace array<string>, memory_type string, key string, content string, metadata map<string, string>, invalidated_at timestamp, expires_at timestamp, related_ids array<string>, importance double, created_at timestamp, loaded_at timestamp"
     path = str(tmp_path_factory.mktemp("memory"))
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/memory_store.parquet")
     return path
