@@ -235,7 +235,7 @@ def train(given: list[str] | None = None, count: int = 5000, epochs: int = 10, s
 
     The sentences with details are those of ``pii_training``; between them stand sentences of ``background``, in which what
     is ordinary in the texts to be read is learned. They are taken to have no details."""
-    given = given or pii_training.GIVEN
+    given = given or [*pii_training.GIVEN, *pii_training.MORE_GIVEN]
     docs = pii_training.documents(count, seed, background)
     encoder = Encoder(given)
     b = read([t for t, _ in docs], encoder)
@@ -336,6 +336,22 @@ def background(texts: DataFrame, text: str, key: str, limit: int = BACKGROUND_TE
 _TITLE = re.compile(rf"(?:(?:{'|'.join(t for t in _TITLES.split() if len(t) > 1)})\.?\s+)+(?=[^\W\d_]{{2,}}|[^\W\d_]\.)", re.I)
 
 
+def _trimmed(text: str, a: int, b: int, given: set[str], ordinary: dict[str, int]) -> tuple[int, int]:
+    """A name without ordinary words at its ends: small ones beside capitals, and a known word before a given name."""
+    while first := re.match(r"([^\W\d_]+)\s+(?=([^\W\d_]+))", text[a:b]):
+        w, then = first[1], first[2]
+        small = w.islower() and w not in _PARTS.split() and any(c.isupper() for c in text[a:b])
+        if w.lower() in given or not (small or (len(w) > 1 and w.lower() in ordinary and then.lower() in given)):
+            break
+        a += first.end()
+    while last := re.search(r"\s+([^\W\d_]+)\Z", text[a:b]):
+        w = last[1]
+        if w.lower() in given or not w.islower() or not (len(w) == 1 or any(c.isupper() for c in text[a:b])):
+            break
+        b = a + last.start()
+    return a, b
+
+
 def checked(text: str, a: int, b: int, kind: str, sure: float, given: set[str], ordinary: dict[str, int]) -> tuple[int, int] | None:
     """The span without what doesn't belong to it, or None when it has not the form of its type."""
     s = text[a:b]
@@ -356,6 +372,7 @@ def checked(text: str, a: int, b: int, kind: str, sure: float, given: set[str],
         m = _TITLE.match(text[a:b])
         if m:
             a += m.end()
+        a, b = _trimmed(text, a, b, given, ordinary)
         words = re.findall(r"[^\W\d_]+", text[a:b])
         before = re.search(r"([^\W\d_]+) $", text[max(0, a - 20) : a])
         if before and len(before[1]) > 1 and before[1][0].isupper() and (before[1].lower() in given or before[1].lower() not in ordinary and before[1].lower() not in _TITLES.split()):

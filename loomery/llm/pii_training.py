@@ -14,6 +14,16 @@ GIVEN = (
     "Nicolas Valérie Olivier Sylvie Thierry Aurélie Carlos Maria José Carmen Miguel Isabel Javier Pilar Francisco Dolores Alejandro Raquel Giulia Marco Francesca Luca Alessandro Chiara João Inês Pieter "
     "Sanne Ahmed Fatima Wei Mei Hiroshi Yuki Olga Dmitri Ivan Katarzyna Piotr Ewa Björn Astrid Lars Nikolai Samira Hassan Aisha Kwame Chidi Lena Oskar"
 ).split()
+#: More given names of many countries. They mark a candidate as those do, but the sentences for training are not made of them.
+MORE_GIVEN = (
+    "Aaron Abigail Adam Adrian Adriana Agnes Agnieszka Aiden Alan Alana Albert Alberto Alejandra Alexander Alexandra Alexis Alfred Alice Alicia Alison Allison Alma Amelia Amelie Amina Amir Amy Ana Anaïs André Andrea Andrés Angela Angelina Anika Anita Anja Anna Anne Annika Annette Antoine Anton Antonia Antonio Antonella Arjun Arthur Arturo Audrey Axel "
+    "Beatrice Beatriz Ben Benedikt Benjamin Bernd Bernhard Bianca Bilal Bruno Camila Camille Carina Carla Carlo Carolina Caroline Catarina Catherine Cecilia Céline Chen Chloé Chloe Christian Christiane Christina Christine Christoph Clara Clément Colin Connor Cornelia Cristina Dagmar Damien Dana Daniel Daniela Danielle Dario David Davide Denis Dennis Derek Diana Diego Dirk Dominic Dominik Dorothea Duarte Dylan "
+    "Edith Eduardo Elena Eleanor Eleonora Elias Elisa Elisabeth Ella Ellen Emil Emilia Emilio Emma Emmanuel Enrique Eric Erik Erika Esther Ethan Eugene Eva Evelyn Fabian Fabio Federica Federico Felipe Felix Fernanda Fernando Filip Fiona Florian Franz Frederick Frederik Frieda Friedrich Gabriel Gabriela Gabriele Gareth Georg Gerhard Gianluca Giorgio Giovanni Giuseppe Gonzalo Graham Gregor Gregory Greta Guillaume Günter Gustav "
+    "Hanna Hannah Hans Harald Harold Harry Helen Helena Helga Hélène Helmut Hendrik Henri Henrik Henry Hugo Ian Ibrahim Ida Ignacio Igor Ilse Imran Ines Inga Ingrid Irene Irina Iris Isaac Isabella Isla Ismail Jack Jacob Jacqueline Jakob Jakub James Jan Jana Jane Janet Janine Jasmin Jasper Jens Jeroen Joachim Joana Joanna Joaquín Jochen Johan Johanna Johannes Jonas Jonathan Jorge Josef Josefine Joyce Juan Juana Judith Julia Julian Juliana Julie Julien Julio Jun Justin "
+    "Karim Karin Karl Karolina Kasper Katharina Katherine Kathleen Katja Kayla Keith Kerstin Kim Klaus Konrad Kristin Kyle Larissa Laila Lea Léa Leila Leo Leon Leonard Leonie Leonor Liam Lidia Lieke Lina Linus Lorenz Lorenzo Lotte Louis Louise Luca Lucas Lucía Lucia Lucie Ludwig Luis Luisa Lukas Luz Maarten Madison Magdalena Malik Manfred Manon Manuel Manuela Marcel Marcin Marcus Margaret Margarida Margot Maria Mariana Marina Mario Marion Marta Martha Martin Martina Mateo Mateus Mathieu Mathilde Matilde Matteo Max Maximilian Maya Megan Mehmet Melanie Mia Michał Michel Mikael Mila Milan Mina Mirjam Mohamed Mohammed Moritz Mustafa "
+    "Nadia Nadine Naomi Natalia Natalie Natasha Nele Niamh Nicholas Nicola Nicole Niels Niklas Nils Nina Nora Norbert Nuno Octavio Oliver Olivia Omar Orla Oscar Otto Owen Pablo Paola Pascal Patrícia Patrick Paul Paula Pauline Pavel Pedro Penelope Philip Philipp Phoebe Piero Priya Rafael Rahul Rainer Ralf Ramona Raphaël Raúl Rebekka Regina Reinhard Renate Ricardo Riccardo Rita Roberta Roberto Robin Rodrigo Roger Roland Roman Romain Rosa Rosalie Rosario Roxana Rubén Rui Rupert Ruth "
+    "Sabrina Salma Salvatore Samantha Samuel Sander Sara Sébastien Sebastian Selma Sergio Shane Siegfried Silke Silvia Simona Simone Sofia Sofie Solange Sophia Sophie Stefan Stefanie Stefano Stephan Stephen Stuart Susana Susanne Svenja Svetlana Tamara Tania Tanja Tatiana Teresa Theo Theodor Theresa Thiago Tiago Tim Tina Tobias Tom Tomás Tomasz Torsten Trevor Tristan Ulrich Ursula Valentin Valentina Valeria Vanessa Vera Verena Veronica Vicente Victor Vincent Violeta Volker Walter Wendy Werner Wilhelm Xavier Yannick Yasmin Youssef Yusuf Yvonne Zoe Zofia"
+).split()
 _SURNAME = (
     "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson Martin Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Hill Green Adams Baker Nelson "
     "Carter Mitchell Turner Phillips Campbell Parker Evans Edwards Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Neumann Zimmermann Krüger Hofmann "
